@@ -1,0 +1,115 @@
+"""Evaluation inputs derived by Spark from the driver's tables.
+
+The evaluated setup (recordings, transcripts, translations) is not shipped,
+so it is derived from ``documents``: each document is one recording whose
+reference is the document's own text; each applicable ASR model yields a
+transcript whose words are a deterministic corruption of the reference, with
+an error rate that rises with the recording condition.  Every document and
+every line takes part; nothing is sampled.
+
+All derivations stay inside one row (array higher-order functions), so
+building the corpus needs no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tulkki import dims
+from tulkki.functions import text as tx
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- fixed values of the derivation (mirrored in the oracle SQL) ----------
+# corruption hash h = (doc*13 + line*7 + word*5 + model*3) % 31;
+# keep the word when h >= 2*condition + model, else by h % 3:
+# 0 drop, 1 misspell (append 'q'), 2 repeat
+# condition = 1 + doc % 6, speaker group = SPEAKER_GROUPS[(doc / 6) % 4]
+# ---------------------------------------------------------------------------
+
+
+def _corrupt_line(line: Column, doc: Column, pos: Column, k: Column, c: Column) -> Column:
+    def word(x, i):
+        h = (doc * 13 + pos * 7 + i * 5 + k * 3) % 31
+        return (F.when(h >= c * 2 + k, F.array(x))
+                 .when(h % 3 == 0, F.array().cast("array<string>"))
+                 .when(h % 3 == 1, F.array(F.concat(x, F.lit("q"))))
+                 .otherwise(F.array(x, x)))
+    return F.array_join(F.flatten(F.transform(F.split(line, " "), word)), " ")
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-spread rows over the cluster when the scan gave too few partitions.
+
+    Alignment cost is per row and heavy, so a small file read as one split
+    would run in one task.  Large inputs already have many splits and are
+    left alone (no extra shuffle).
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)
+
+
+def recordings(documents: DataFrame) -> DataFrame:
+    """One recording per document: key, language, speaker group, condition, name."""
+    d = documents.select("doc_id", "lang", "text")
+    c = (F.col("doc_id") % 6 + 1).cast("int")
+    g = F.element_at(F.array(*[F.lit(s) for s in dims.SPEAKER_GROUPS]),
+                     (F.floor(F.col("doc_id") / 6) % 4 + 1).cast("int"))
+    return (d.withColumn("cond_no", c)
+             .withColumn("group", g)
+             .withColumn("recording",
+                         F.concat_ws("-", "lang", F.regexp_replace(g, "_", "-"),
+                                     F.concat(F.lit("c"), c.cast("string")),
+                                     F.col("doc_id").cast("string"))))
+
+
+def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Recording x applicable ASR model -> reference lines and transcript lines.
+
+    Columns: doc_id, lang, asr_model, asr_folder, model_no, cond_no, recording,
+    pred_path, ref_lines array<string>, pred_lines array<string>.
+    """
+    rec = recordings(documents)
+    # the 5-entry model registry as a literal array: P1 applicability is an
+    # in-row filter + explode, so the fan-out needs no join
+    reg = F.array(*[F.struct(F.lit(n).alias("asr_model"), F.lit(f).alias("asr_folder"),
+                             F.lit(i + 1).alias("model_no"))
+                    for i, (n, f) in enumerate(dims.ASR_MODELS.items())])
+    from tulkki.operators.relational import asr_model_applies
+    models = (rec.withColumn("m", F.explode(F.filter(reg, lambda m: asr_model_applies(m["asr_model"], F.col("lang")))))
+                 .select("*", "m.*").drop("m"))
+    models = spread(models, ["doc_id", "asr_model"])
+    lines = tx.split_lines(F.col("text"))
+    out = models.withColumn("ref_lines", lines)
+    pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
+        ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
+    return (out.withColumn("pred_lines", F.filter(F.transform(pred, tx.strip), lambda x: x != ""))
+               .withColumn("pred_path", F.format_string("data/results/asr/%s/%s_transcription.txt",
+                                                         F.col("asr_folder"), F.col("recording")))
+               .drop("text"))
+
+
+def line_pairs(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Line-level (reference, hypothesis) pairs: every non-blank line x ASR model.
+
+    Columns: doc_id, pos, lang, asr_model, model_no, cond_no, group, ref, hyp.
+    """
+    a = asr_outputs(spark, documents)
+    # one hypothesis line per reference line (an emptied line stays, as '')
+    pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
+        ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
+    return (a.select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
+                     F.posexplode(F.arrays_zip(F.col("ref_lines").alias("ref"), pred.alias("hyp")))
+                      .alias("pos", "p"))
+             .select("doc_id", "pos", "lang", "asr_model", "model_no", "cond_no", "group",
+                     F.col("p.ref").alias("ref"), tx.strip(F.col("p.hyp")).alias("hyp")))
