@@ -102,4 +102,4 @@ def values_sql(rows, cols) -> str:
             return "'" + v.replace("'", "''") + "'"
         return str(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({', '.join(cols)})"
+    return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"

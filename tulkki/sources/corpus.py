@@ -60,17 +60,22 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recordings(documents: DataFrame) -> DataFrame:
-    """One recording per document: key, language, speaker group, condition, name."""
+    """One recording per document: key, language, speaker group, condition, name.
+
+    Names follow the recording grammar (``en-nat-m-c3-17``); one document in
+    ten gets an upper-case ``_`` spelling (no metadata, index still found) and
+    one in ten a free name (no metadata, no index), as real folders have.
+    """
     d = documents.select("doc_id", "lang", "text")
     c = (F.col("doc_id") % 6 + 1).cast("int")
     g = F.element_at(F.array(*[F.lit(s) for s in dims.SPEAKER_GROUPS]),
                      (F.floor(F.col("doc_id") / 6) % 4 + 1).cast("int"))
-    return (d.withColumn("cond_no", c)
-             .withColumn("group", g)
-             .withColumn("recording",
-                         F.concat_ws("-", "lang", F.regexp_replace(g, "_", "-"),
-                                     F.concat(F.lit("c"), c.cast("string")),
-                                     F.col("doc_id").cast("string"))))
+    cond = F.concat(F.lit("c"), c.cast("string"))
+    doc = F.col("doc_id").cast("string")
+    name = (F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit("notes-"), doc))
+             .when(F.col("doc_id") % 10 == 7, F.concat_ws("_", F.upper("lang"), g, cond, doc))
+             .otherwise(F.concat_ws("-", "lang", F.regexp_replace(g, "_", "-"), cond, doc)))
+    return d.withColumn("cond_no", c).withColumn("group", g).withColumn("recording", name)
 
 
 def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -94,11 +99,14 @@ def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
         ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
     return (out.withColumn("pred_lines", F.filter(F.transform(pred, tx.strip), lambda x: x != ""))
-               .withColumn("pred_path", F.format_string("data/results/asr/%s/%s_transcription.txt",
-                                                         F.col("asr_folder"), F.col("recording")))
+               .withColumn("pred_path", transcript_path(F.col("asr_folder"), F.col("recording")))
                .drop("text"))
 
 
+def transcript_path(folder: Column, recording: Column) -> Column:
+    return F.format_string("data/results/asr/%s/%s_transcription.txt", folder, recording)
+
+
 def line_pairs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Line-level (reference, hypothesis) pairs: every non-blank line x ASR model.
 
