@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tulkki import dims
 from tulkki.functions import text as tx
@@ -334,3 +335,291 @@ def flagship(spark, d):
                       _r6(F.col("mean_wil")).alias("mean_wil"),
                       _r6(F.col("high_wer_share")).alias("high_wer_share"),
                       F.col("n_files").cast("bigint").alias("n_files"))
+
+
+# ----------------------------------------------------------------- A, W, O, U, S
+
+@register("a1_join_lines", """
+SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def a1_join_lines(spark, d):
+    c = _t(spark, d, "conversations")
+    return rel.join_lines(c, ["conv_id"], pos="turn", text="text", out="text")
+
+
+@register("a8_first_metadata", """
+SELECT user_id, first(event_type ORDER BY ts, event_id) AS event_type, first(value ORDER BY ts, event_id) AS value
+FROM events GROUP BY user_id""")
+def a8_first_metadata(spark, d):
+    e = _t(spark, d, "events").withColumn("ord", F.struct("ts", "event_id"))
+    return rel.first_metadata(e, ["user_id"], "ord", ["event_type", "value"])
+
+
+@register("a9_run_counts", f"""
+WITH {q.corpus_ctes()}
+SELECT lang, asr_model, count(*) AS n, count_if(len(pred_lines) = 0) AS n_empty FROM outs GROUP BY lang, asr_model""")
+def a9_run_counts(spark, d):
+    out = corpus.asr_outputs(spark, _t(spark, d, "documents")).withColumn("empty", F.size("pred_lines") == 0)
+    return rel.run_counts(out, ["lang", "asr_model"], "empty")
+
+
+@register("w1_latest", """
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def w1_latest(spark, d):
+    e = _t(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    e = e.withColumn("ord", F.struct("ts", "event_id"))
+    return rel.latest(e, ["user_id", "event_type"], "ord").select("user_id", "event_type", "event_id", "value")
+
+
+@register("w2_batch_no", f"""
+WITH l AS (SELECT doc_id, {q.split_lines('text')} AS ls FROM documents)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, CAST((i - 1) // 8 AS BIGINT) AS batch_no
+FROM l, unnest(range(1, len(ls) + 1)) u(i)""")
+def w2_batch_no(spark, d):
+    lines = s1_read_lines(spark, d)
+    return rel.batch_no(lines, ["doc_id"], "pos", 8).select("doc_id", "pos", "batch_no")
+
+
+@register("o1_sort_inputs", "SELECT page_id, url FROM pages ORDER BY url")
+def o1_sort_inputs(spark, d):
+    return rel.sort_inputs(_t(spark, d, "pages").select("page_id", "url"), "url")
+
+
+@register("o2_head_n", """
+WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT u.conv_id, u.turn, CAST(u.pos AS BIGINT) AS pos FROM u JOIN a ON u.conv_id = a.conv_id WHERE u.pos < a.n""")
+def o2_head_n(spark, d):
+    c = _t(spark, d, "conversations")
+    u = rel.dense_pos(c.filter(F.col("role") == "user"), ["conv_id"], "turn").select("conv_id", "turn", "pos")
+    a = c.filter(F.col("role") == "assistant").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return rel.head_n(u.join(a, "conv_id"), "pos", F.col("n")).select("conv_id", "turn", "pos")
+
+
+@register("u1_p7_p8_compile_results", f"""
+WITH {q.corpus_ctes()},
+asr AS (SELECT 'ASR' AS Task, asr_model AS Model, lang AS Language, 'c' || cond_no AS Condition_Code,
+               lang AS Source_Lang, pred_path AS Pred_File_Path FROM outs),
+langs AS (SELECT DISTINCT lang FROM documents),
+pairs AS (SELECT a.lang AS src_lang, b.lang AS tgt_lang FROM langs a, langs b WHERE a.lang <> b.lang),
+mt AS (SELECT 'MT' AS Task, m.mt_model AS Model, p.tgt_lang AS Language, p.src_lang AS Source_Lang,
+              p.tgt_lang AS Target_Lang, 'Human Source' AS ASR_WER_Status
+       FROM pairs p JOIN {q.MT_MODELS} m ON (contains(m.mt_model, p.src_lang || '_' || p.tgt_lang) OR starts_with(m.mt_model, 'nllb')))
+SELECT * FROM asr UNION ALL BY NAME SELECT * FROM mt""")
+def u1_p7_p8_compile_results(spark, d):
+    docs = _t(spark, d, "documents")
+    out = corpus.asr_outputs(spark, docs)
+    asr = rel.with_task(out.select(F.col("asr_model").alias("Model"), F.col("lang").alias("Language"),
+                                   F.concat(F.lit("c"), F.col("cond_no").cast("string")).alias("Condition_Code"),
+                                   F.col("lang").alias("Source_Lang"), F.col("pred_path").alias("Pred_File_Path")), "ASR")
+    pairs = rel.language_pairs(docs.select("lang").distinct())
+    mt = rel.with_task(rel.applicable_mt(pairs, F.broadcast(dims.mt_models(spark)))
+                       .select(F.col("mt_model").alias("Model"), F.col("tgt_lang").alias("Language"),
+                               F.col("src_lang").alias("Source_Lang"), F.col("tgt_lang").alias("Target_Lang"),
+                               F.lit(dims.HUMAN_SOURCE).alias("ASR_WER_Status")), "MT")
+    return rel.compile_results(asr, mt)
+
+
+@register("u2_union_files", rf"""
+WITH {q.corpus_ctes()},
+f AS (SELECT doc_id, asr_model, regexp_extract(pred_path, '[^/]*$') AS fname FROM outs)
+SELECT doc_id, asr_model, fname FROM f WHERE regexp_matches(fname, '^[a-z]{{2}}-')
+UNION ALL
+SELECT doc_id, asr_model, fname FROM f WHERE regexp_matches(fname, '^[a-z]{{2}}_')""")
+def u2_union_files(spark, d):
+    out = corpus.asr_outputs(spark, _t(spark, d, "documents")).select(
+        "doc_id", "asr_model", tx.file_name("pred_path").alias("fname"))
+    return rel.union_files(out.filter(F.col("fname").rlike("^[a-z]{2}-")),
+                           out.filter(F.col("fname").rlike("^[a-z]{2}_")))
+
+
+@register("s10_skip_done", f"""
+WITH {q.corpus_ctes()},
+done AS (SELECT DISTINCT doc_id, 'whisper_large_v2' AS asr_model FROM labels)
+SELECT doc_id, asr_model FROM outs ANTI JOIN done USING (doc_id, asr_model)""")
+def s10_skip_done(spark, d):
+    """Transcripts still to do; labelled documents already have a whisper transcript."""
+    todo = corpus.asr_outputs(spark, _t(spark, d, "documents")).select("doc_id", "asr_model")
+    done = _t(spark, d, "labels").select("doc_id", F.lit("whisper_large_v2").alias("asr_model"))
+    return rel.skip_done(todo, done, ["doc_id", "asr_model"])
+
+
+@register("s11_require_inputs", """
+SELECT doc_id, lang, NULL AS reject_reason FROM documents SEMI JOIN labels USING (doc_id)
+UNION ALL
+SELECT doc_id, lang, 'missing_input' AS reject_reason FROM documents ANTI JOIN labels USING (doc_id)""")
+def s11_require_inputs(spark, d):
+    """Documents whose label input exists; the others become reject rows."""
+    todo = _t(spark, d, "documents").select("doc_id", "lang")
+    ok, rej = rel.require_inputs(todo, _t(spark, d, "labels"), ["doc_id"])
+    return ok.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rej)
+
+
+@register("s12_prepare_references", f"""
+WITH l AS (SELECT doc_id, {q.split_lines('text')} AS ls FROM documents),
+n AS (SELECT doc_id, {q.normalize("array_to_string(list_transform(ls, lambda x: " + q.normalize('x') + "), ' ')")} AS ref_text FROM l)
+SELECT doc_id, ref_text, CAST(ref_text <> '' AS INTEGER) AS n_ref_lines FROM n""")
+def s12_prepare_references(spark, d):
+    from tulkki.plans.evaluate import prepare_references
+    docs = _t(spark, d, "documents").withColumn("ref_lines", tx.split_lines("text"))
+    return prepare_references(docs, ["doc_id"]).select("doc_id", "ref_text", "n_ref_lines")
+
+
+@register("j8_with_reference", f"""
+WITH {q.corpus_ctes()},
+h AS (SELECT doc_id, asr_model, CAST(i - 1 AS BIGINT) AS pos, pred_lines[i] AS hyp FROM outs, unnest(range(1, len(pred_lines) + 1)) u(i)),
+r AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, ls[i] AS ref FROM (SELECT doc_id, {q.split_lines('text')} AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i))
+SELECT h.doc_id, h.asr_model, h.pos, h.hyp, r.ref FROM h LEFT JOIN r ON h.doc_id = r.doc_id AND h.pos = r.pos""")
+def j8_with_reference(spark, d):
+    """Transcript lines (blanks dropped, positions re-densified) with the reference line at the same position."""
+    out = corpus.asr_outputs(spark, _t(spark, d, "documents"))
+    hyp = out.select("doc_id", "asr_model", F.posexplode("pred_lines").alias("pos", "hyp")) \
+             .withColumn("pos", F.col("pos").cast("bigint"))
+    refs = s1_read_lines(spark, d).withColumnRenamed("line", "ref")
+    return rel.with_reference(hyp, refs, ["doc_id", "pos"]).select("doc_id", "asr_model", "pos", "hyp", "ref")
+
+
+# ----------------------------------------------------------------- M4, B: metrics and model map
+
+def _line_pairs_sql() -> str:
+    hyp = q.strip(q.corrupt_line("ref_lines[p]", "doc_id", "p-1", "model_no", "cond_no"))
+    return f"""{q.corpus_ctes()},
+lp AS (SELECT doc_id, asr_model, lang, cond_no, CAST(p - 1 AS BIGINT) AS pos, ref_lines[p] AS ref, {hyp} AS hyp
+       FROM outs, unnest(range(1, len(ref_lines) + 1)) u(p)),
+pw AS (SELECT doc_id, asr_model, lang, cond_no, pos, ref, hyp,
+              {q.words(q.normalize('ref'))} AS r, {q.words(q.normalize('hyp'))} AS h FROM lp)"""
+
+
+def line_pair_words(spark, d):
+    lp = corpus.line_pairs(spark, _t(spark, d, "documents"))
+    return lp.withColumn("pos", F.col("pos").cast("bigint")) \
+             .withColumn("ref_words", tx.words(tx.normalize("ref"))) \
+             .withColumn("hyp_words", tx.words(tx.normalize("hyp")))
+
+
+_METEOR_SQL = f"""
+WITH {_line_pairs_sql()},
+hw AS (SELECT doc_id, asr_model, pos, word, hp, row_number() OVER (PARTITION BY doc_id, asr_model, pos, word ORDER BY hp DESC) AS k
+       FROM (SELECT doc_id, asr_model, pos, unnest(h) AS word, unnest(range(len(h))) AS hp FROM pw)),
+rw AS (SELECT doc_id, asr_model, pos, word, rp, row_number() OVER (PARTITION BY doc_id, asr_model, pos, word ORDER BY rp DESC) AS k
+       FROM (SELECT doc_id, asr_model, pos, unnest(r) AS word, unnest(range(len(r))) AS rp FROM pw)),
+m AS (SELECT hw.doc_id, hw.asr_model, hw.pos, hw.hp, rw.rp FROM hw JOIN rw USING (doc_id, asr_model, pos, word, k)),
+c AS (SELECT m.doc_id, m.asr_model, m.pos, count(*) AS mm, count(*) - count(n.hp) AS ch
+      FROM m LEFT JOIN m n ON m.doc_id = n.doc_id AND m.asr_model = n.asr_model AND m.pos = n.pos AND n.hp = m.hp + 1 AND n.rp = m.rp + 1
+      GROUP BY ALL),
+s AS (SELECT pw.doc_id, pw.asr_model, pw.lang, pw.pos,
+        CASE WHEN coalesce(c.mm, 0) = 0 THEN 0.0 ELSE
+          ((c.mm::DOUBLE / len(h)) * (c.mm::DOUBLE / len(r)) / (0.9 * (c.mm::DOUBLE / len(h)) + 0.1 * (c.mm::DOUBLE / len(r))))
+          * (1 - 0.5 * power(c.ch::DOUBLE / c.mm, 3)) END AS meteor
+      FROM pw LEFT JOIN c USING (doc_id, asr_model, pos))"""
+
+
+@register("m4_meteor_exact", _METEOR_SQL + "\nSELECT doc_id, asr_model, pos, round(meteor, 6) AS meteor FROM s")
+def m4_meteor_exact(spark, d):
+    from tulkki.operators.metrics import meteor
+    pw = line_pair_words(spark, d)
+    return meteor(pw, ["doc_id", "asr_model", "pos"]).select("doc_id", "asr_model", "pos", _r6(F.col("meteor")).alias("meteor"))
+
+
+@register("a6_corpus_meteor", _METEOR_SQL + "\nSELECT lang, asr_model, round(avg(meteor), 6) AS meteor, count(*) AS n FROM s GROUP BY lang, asr_model")
+def a6_corpus_meteor(spark, d):
+    from tulkki.operators.metrics import meteor
+    pw = line_pair_words(spark, d)
+    keys = ["doc_id", "asr_model", "pos"]
+    sc = meteor(pw, keys).join(pw.select(*keys, "lang"), keys)
+    return rel.corpus_mean(sc, ["lang", "asr_model"], "meteor", "meteor") \
+              .join(sc.groupBy("lang", "asr_model").agg(F.count(F.lit(1)).alias("n")), ["lang", "asr_model"]) \
+              .select("lang", "asr_model", _r6(F.col("meteor")).alias("meteor"), "n")
+
+
+def reverse_words_model(name):
+    """Deterministic stand-in for a translation model: reverse the word order."""
+    def predict(texts):
+        return [" ".join(reversed(t.split(" "))) if t is not None else None for t in texts]
+    return predict
+
+
+def tagged_reverse_model(name):
+    """Deterministic stand-in routed by model: family tag + reversed words."""
+    fam = name.split("_")[0]
+
+    def predict(texts):
+        return [fam + ": " + " ".join(reversed(t.split(" "))) for t in texts]
+    return predict
+
+
+@register("b1_batch_map", f"""
+WITH l AS (SELECT doc_id, {q.split_lines('text')} AS ls FROM documents)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, array_to_string(list_reverse(string_split(ls[i], ' ')), ' ') AS prediction,
+       NULL AS prediction_error
+FROM l, unnest(range(1, len(ls) + 1)) u(i)""")
+def b1_batch_map(spark, d):
+    from tulkki.operators.infer import batch_map
+    lines = s1_read_lines(spark, d)
+    return batch_map(lines, reverse_words_model, ["line"], "prediction", batch_size=8) \
+        .select("doc_id", "pos", "prediction", "prediction_error")
+
+
+@register("b2_route_and_map", f"""
+WITH langs AS (SELECT DISTINCT lang FROM documents),
+s AS (SELECT doc_id, lang, {q.split_lines('text')} AS ls FROM documents),
+x AS (SELECT doc_id, lang, CAST(i - 1 AS BIGINT) AS pos, ls[i] AS line FROM s, unnest(range(1, len(ls) + 1)) u(i)),
+f AS (SELECT x.*, l.lang AS tgt_lang FROM x JOIN langs l ON x.lang <> l.lang)
+SELECT f.doc_id, f.pos, f.tgt_lang, m.mt_model,
+       split_part(m.mt_model, '_', 1) || ': ' || array_to_string(list_reverse(string_split(f.line, ' ')), ' ') AS prediction
+FROM f JOIN {q.MT_MODELS} m ON (contains(m.mt_model, f.lang || '_' || f.tgt_lang) OR starts_with(m.mt_model, 'nllb'))""")
+def b2_route_and_map(spark, d):
+    from tulkki.operators.infer import batch_map
+    docs = _t(spark, d, "documents")
+    lines = s1_read_lines(spark, d).join(docs.select("doc_id", "lang"), "doc_id")
+    fan = rel.fan_out(lines, docs.select("lang").distinct())
+    routed = rel.applicable_mt(fan, F.broadcast(dims.mt_models(spark).select("mt_model")), "lang", "tgt_lang")
+    return batch_map(routed, tagged_reverse_model, ["line"], "prediction", batch_size=4, model_col="mt_model") \
+        .select("doc_id", "pos", "tgt_lang", "mt_model", "prediction")
+
+
+@register("b5_overlap_chunks", f"""
+WITH w AS (SELECT doc_id, {q.words('text')} AS ws FROM documents),
+s AS (SELECT doc_id, ws, list_filter(range(0, len(ws), 24), lambda s: s = 0 OR s - 24 + 30 < len(ws)) AS starts FROM w)
+SELECT doc_id, CAST(k - 1 AS BIGINT) AS chunk_no, CAST(starts[k] AS BIGINT) AS start,
+       CAST(least(30, len(ws) - starts[k]) AS BIGINT) AS n_items,
+       CAST(CASE WHEN starts[k] = 0 THEN 0 ELSE 4 END AS BIGINT) AS stride_left,
+       CAST(CASE WHEN starts[k] + 30 >= len(ws) THEN 0 ELSE 2 END AS BIGINT) AS stride_right,
+       array_to_string(ws[starts[k] + 1: starts[k] + 30], ' ') AS text
+FROM s, unnest(range(1, len(starts) + 1)) u(k)""")
+def b5_overlap_chunks(spark, d):
+    from tulkki.operators.infer import overlap_chunks
+    docs = _t(spark, d, "documents")
+    ch = docs.select("doc_id", F.explode(overlap_chunks(tx.words("text"), 30, 4, 2)).alias("c"))
+    return ch.select("doc_id", "c.chunk_no", "c.start", "c.n_items", "c.stride_left", "c.stride_right",
+                     F.array_join("c.items", " ").alias("text"))
+
+
+def overlap_scorer(name):
+    """Deterministic stand-in for a learned segment scorer: word-set overlap of hypothesis and reference."""
+    def score(rows):
+        out = []
+        for src, hyp, ref in rows:
+            h, r = set(hyp.split()), set(ref.split())
+            u = h | r
+            out.append(round(len(h & r) / len(u), 6) if u else None)
+        return out
+    return score
+
+
+@register("m6_a7_score_segments", f"""
+WITH {_line_pairs_sql()},
+sc AS (SELECT lang, asr_model,
+         CASE WHEN len(list_distinct(list_concat(h, r))) = 0 THEN NULL
+              ELSE round(len(list_intersect(list_distinct(h), list_distinct(r)))::DOUBLE / len(list_distinct(list_concat(h, r))), 6) END AS score
+       FROM pw)
+SELECT lang, asr_model, round(avg(score), 6) AS comet, count(score) AS n_scored FROM sc GROUP BY lang, asr_model""")
+def m6_a7_score_segments(spark, d):
+    """M6 through B1 with three inputs (source, hypothesis, reference); A7 mean, failures skipped."""
+    from tulkki.operators.infer import batch_map
+    pw = line_pair_words(spark, d).select(
+        "lang", "asr_model", F.array_join("ref_words", " ").alias("src"),
+        F.array_join("hyp_words", " ").alias("hyp"), F.array_join("ref_words", " ").alias("ref"))
+    sc = batch_map(pw, overlap_scorer, ["src", "hyp", "ref"], "score", batch_size=64, out_type=T.DoubleType())
+    return sc.groupBy("lang", "asr_model").agg(_r6(F.avg("score")).alias("comet"),
+                                               F.count("score").alias("n_scored"))
