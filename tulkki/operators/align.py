@@ -162,7 +162,14 @@ def _code_point_utf8(k: Column) -> Column:
     return F.when(cp < 0x10000, three).otherwise(four)
 
 
-def word_distance(ref_words, hyp_words) -> Column:
+def with_word_distance(df, ref_words: str, hyp_words: str, out: str = "distance"):
+    """M7 on a DataFrame: the pair's vocabulary is materialised once per row."""
+    from tulkki.sources.corpus import materialize
+    v = materialize(df, __vocab=F.array_distinct(F.concat(F.col(ref_words), F.col(hyp_words))))
+    return v.withColumn(out, word_distance(ref_words, hyp_words, F.col("__vocab"))).drop("__vocab")
+
+
+def word_distance(ref_words, hyp_words, vocab=None) -> Column:
     """M7: word-level edit distance with JVM built-ins only.
 
     Each distinct word of the pair becomes one code point, the two word lists
@@ -170,7 +177,8 @@ def word_distance(ref_words, hyp_words) -> Column:
     """
     r = F.col(ref_words) if isinstance(ref_words, str) else ref_words
     h = F.col(hyp_words) if isinstance(hyp_words, str) else hyp_words
-    vocab = F.array_distinct(F.concat(r, h))
+    if vocab is None:
+        vocab = F.array_distinct(F.concat(r, h))
 
     def encode(ws):
         hexes = F.transform(ws, lambda w: _code_point_utf8(F.array_position(vocab, w) - 1))

@@ -588,11 +588,12 @@ SELECT doc_id, CAST(k - 1 AS BIGINT) AS chunk_no, CAST(starts[k] AS BIGINT) AS s
        array_to_string(ws[starts[k] + 1: starts[k] + 30], ' ') AS text
 FROM s, unnest(range(1, len(starts) + 1)) u(k)""")
 def b5_overlap_chunks(spark, d):
-    from tulkki.operators.infer import overlap_chunks
+    from tulkki.operators.infer import chunk_items, overlap_chunks
     docs = _t(spark, d, "documents")
-    ch = docs.select("doc_id", F.explode(overlap_chunks(tx.words("text"), 30, 4, 2)).alias("c"))
+    ws = corpus.materialize(docs.select("doc_id", "text"), ws=tx.words("text")).drop("text")
+    ch = ws.select("doc_id", "ws", F.explode(overlap_chunks("ws", 30, 4, 2)).alias("c"))
     return ch.select("doc_id", "c.chunk_no", "c.start", "c.n_items", "c.stride_left", "c.stride_right",
-                     F.array_join("c.items", " ").alias("text"))
+                     F.array_join(chunk_items("ws", "c.start", 30), " ").alias("text"))
 
 
 def overlap_scorer(name):
@@ -623,3 +624,87 @@ def m6_a7_score_segments(spark, d):
     sc = batch_map(pw, overlap_scorer, ["src", "hyp", "ref"], "score", batch_size=64, out_type=T.DoubleType())
     return sc.groupBy("lang", "asr_model").agg(_r6(F.avg("score")).alias("comet"),
                                                F.count("score").alias("n_scored"))
+
+
+# ----------------------------------------------------------------- M1, M5, M7, A4, A5, E2-E4 (no SQL oracle:
+# the word-level dynamic programmes are far too slow as DuckDB recursive SQL on whole texts;
+# tests check them against brute force instead)
+
+@register("m1_align_lines")
+def m1_align_lines(spark, d):
+    """M1-M3 per line pair (every line of every document x ASR model)."""
+    from tulkki.operators.align import align_texts
+    from tulkki.operators.metrics import wer, wil
+    lp = corpus.line_pairs(spark, _t(spark, d, "documents"))
+    a = lp.select("doc_id", "asr_model", F.col("pos").cast("bigint").alias("pos"),
+                  align_texts(tx.normalize("ref"), tx.normalize("hyp")).alias("al"))
+    return a.select("doc_id", "asr_model", "pos", "al.hits", "al.subs", "al.dels", "al.ins",
+                    _r6(wer("al")).alias("wer"), _r6(wil("al")).alias("wil"))
+
+
+@register("m7_word_distance")
+def m7_word_distance(spark, d):
+    """M7: word edit distance per line pair with JVM built-ins only."""
+    from tulkki.operators.align import with_word_distance
+    lp = corpus.line_pairs(spark, _t(spark, d, "documents"))
+    w = corpus.materialize(lp.select("doc_id", "asr_model", F.col("pos").cast("bigint").alias("pos"), "ref", "hyp"),
+                           r=tx.words(tx.normalize("ref")), h=tx.words(tx.normalize("hyp"))).drop("ref", "hyp")
+    return with_word_distance(w, "r", "h").select("doc_id", "asr_model", "pos",
+                                                  F.col("distance").cast("bigint").alias("distance"))
+
+
+@register("a4_corpus_wer")
+def a4_corpus_wer(spark, d):
+    """A4: micro WER/WIL by language and model over all line pairs."""
+    from tulkki.operators.align import align_texts
+    lp = corpus.line_pairs(spark, _t(spark, d, "documents"))
+    a = lp.select("lang", "asr_model", align_texts(tx.normalize("ref"), tx.normalize("hyp")).alias("al"))
+    r = rel.corpus_wer(a, ["lang", "asr_model"], "al")
+    return r.select("lang", "asr_model", _r6(F.col("corpus_wer")).alias("corpus_wer"),
+                    _r6(F.col("corpus_wil")).alias("corpus_wil"), "hits", "subs", "dels", "ins")
+
+
+@register("m5_a5_ter")
+def m5_a5_ter(spark, d):
+    """M5 per sentence segment, A5 corpus TER by language pair and MT model."""
+    from tulkki.operators.ter import ter_edits
+    seg = corpus.mt_segments(spark, _t(spark, d, "documents"))
+    t = seg.select("src_lang", "tgt_lang", "mt_model",
+                   ter_edits(tx.normalize("hyp"), tx.normalize("ref")).alias("t"))
+    t = t.select("src_lang", "tgt_lang", "mt_model", F.col("t.edits").alias("ter_edits"),
+                 F.col("t.ref_len").alias("ter_ref_len"))
+    return rel.corpus_ter(t, ["src_lang", "tgt_lang", "mt_model"]).select(
+        "src_lang", "tgt_lang", "mt_model", _r6(F.col("corpus_ter")).alias("corpus_ter"))
+
+
+def mt_results(spark, d):
+    from tulkki.plans.evaluate import evaluate_mt
+    seg = corpus.mt_segments(spark, _t(spark, d, "documents"))
+    return evaluate_mt(seg, overlap_scorer)
+
+
+@register("e2_mt_human_source")
+def e2_mt_human_source(spark, d):
+    """MT record per translated document, human source."""
+    r = mt_results(spark, d)
+    return r.select("doc_id", "Task", "Model", "Language", "Source_Lang", "Target_Lang", "ASR_WER_Status",
+                    _r6(F.col("METEOR")).alias("METEOR"), _r6(F.col("TER")).alias("TER"),
+                    _r6(F.col("COMET")).alias("COMET"))
+
+
+@register("e3_j9_mt_on_asr_source")
+def e3_j9_mt_on_asr_source(spark, d):
+    """MT records flagged with the quality of each ASR source of their source language."""
+    from tulkki.plans.evaluate import asr_quality, evaluate_mt_on_asr
+    r = evaluate_mt_on_asr(mt_results(spark, d), asr_quality(asr_results(spark, d)))
+    return r.select("doc_id", "Model", "Source_Lang", "Target_Lang", "ASR_WER_Status", "Condition_Code",
+                    _r6(F.col("WER")).alias("WER"), _r6(F.col("High_WER_Percentage")).alias("High_WER_Percentage"),
+                    _r6(F.col("METEOR")).alias("METEOR"), _r6(F.col("TER")).alias("TER"))
+
+
+@register("e4_summary")
+def e4_summary(spark, d):
+    """ASR and MT records unioned by name, known columns first (U1 + P7)."""
+    asr = asr_results(spark, d).drop("al", "reject_reason", "doc_id")
+    mt = mt_results(spark, d).drop("doc_id", "src_lang", "tgt_lang", "mt_model")
+    return rel.compile_results(asr.drop("Ref_Text_Normalized", "Pred_Text_Normalized"), mt)

@@ -59,6 +59,18 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(want, *keys)
 
 
+def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns computed exactly once per row.
+
+    Catalyst inlines a projected expression into every lambda that uses it,
+    so an array used inside ``transform``/``filter`` would be rebuilt per
+    element.  Producing the columns through a one-row ``inline`` generator
+    makes them generator output, which is never inlined.
+    """
+    keep = [c for c in df.columns if c not in exprs]
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
+
+
 def recordings(documents: DataFrame) -> DataFrame:
     """One recording per document: key, language, speaker group, condition, name.
 
@@ -116,8 +128,41 @@ def line_pairs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     # one hypothesis line per reference line (an emptied line stays, as '')
     pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
         ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
-    return (a.select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
-                     F.posexplode(F.arrays_zip(F.col("ref_lines").alias("ref"), pred.alias("hyp")))
-                      .alias("pos", "p"))
-             .select("doc_id", "pos", "lang", "asr_model", "model_no", "cond_no", "group",
-                     F.col("p.ref").alias("ref"), tx.strip(F.col("p.hyp")).alias("hyp")))
+    out = (a.select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
+                    F.posexplode(F.arrays_zip(F.col("ref_lines").alias("ref"), pred.alias("hyp")))
+                     .alias("pos", "p"))
+            .select("doc_id", "pos", "lang", "asr_model", "model_no", "cond_no", "group",
+                    F.col("p.ref").alias("ref"), tx.strip(F.col("p.hyp")).alias("hyp")))
+    return spread(out, ["doc_id", "asr_model", "pos"])
+
+
+# --- fixed values: corpus languages used as MT sources ------------------------
+CORPUS_LANGS = ["en", "fr", "de", "es"]
+# ---------------------------------------------------------------------------
+
+
+def mt_segments(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Sentence segments of every document as translation test items.
+
+    Each document is a translation into its own language from one other
+    corpus language (chosen by key); the MT model is the Opus model of the
+    pair for even keys when one exists, else NLLB.  The hypothesis is a
+    deterministic corruption of the reference sentence.
+
+    Columns: doc_id, pos, src_lang, tgt_lang, mt_model, cond_no, src, ref, hyp.
+    """
+    others = F.filter(F.array(*[F.lit(x) for x in CORPUS_LANGS]), lambda x: x != F.col("lang"))
+    src_lang = F.element_at(others, (F.col("doc_id") % F.size(others) + 1).cast("int"))
+    opus = F.concat(F.lit("opus_mt_"), F.col("src_lang"), F.lit("_"), F.col("lang"))
+    has_opus = opus.isin(*dims.MT_MODELS.keys())
+    model = F.when(has_opus & (F.col("doc_id") % 2 == 0), opus).otherwise(F.lit("nllb"))
+    seg = (documents.select("doc_id", "lang", F.posexplode(tx.sentence_array("text")).alias("pos", "ref"))
+                    .withColumn("src_lang", src_lang)
+                    .withColumn("mt_model", model)
+                    .withColumn("cond_no", (F.col("doc_id") % 6 + 1).cast("int")))
+    k = F.when(F.col("mt_model") == "nllb", F.lit(11)).otherwise(F.lit(12))
+    hyp = tx.strip(_corrupt_line(F.col("ref"), F.col("doc_id"), F.col("pos"), k, F.col("cond_no")))
+    out = seg.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "src_lang",
+                     F.col("lang").alias("tgt_lang"), "mt_model", "cond_no",
+                     F.col("ref").alias("src"), "ref", hyp.alias("hyp"))
+    return spread(out, ["doc_id", "pos"])
