@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "tulkki") -> SparkSession:
+              app_name: str = "tulkki", driver_memory: str = "16g") -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
     On a cluster the master, memory and checkpoint folder come from the
@@ -18,10 +18,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode runs every task in the driver JVM
+            b = b.config("spark.driver.memory", driver_memory)
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
+          # no broadcast on size *estimates* (an explode can inflate a side far
+          # beyond them); fixed dimensions are broadcast explicitly, and AQE may
+          # broadcast a side only when its measured shuffle output is small
+          .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+          .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32m")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -106,13 +106,11 @@ def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     models = (rec.withColumn("m", F.explode(F.filter(reg, lambda m: asr_model_applies(m["asr_model"], F.col("lang")))))
                  .select("*", "m.*").drop("m"))
     models = spread(models, ["doc_id", "asr_model"])
-    lines = tx.split_lines(F.col("text"))
-    out = models.withColumn("ref_lines", lines)
+    out = materialize(models, ref_lines=tx.split_lines(F.col("text"))).drop("text")
     pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
         ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
-    return (out.withColumn("pred_lines", F.filter(F.transform(pred, tx.strip), lambda x: x != ""))
-               .withColumn("pred_path", transcript_path(F.col("asr_folder"), F.col("recording")))
-               .drop("text"))
+    out = materialize(out, pred_lines=F.filter(F.transform(pred, tx.strip), lambda x: x != ""))
+    return out.withColumn("pred_path", transcript_path(F.col("asr_folder"), F.col("recording")))
 
 
 def transcript_path(folder: Column, recording: Column) -> Column:
