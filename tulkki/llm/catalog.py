@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tulkki.llm.substring_dedup import op1_substring_dedup
+from tulkki.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_line_dedup": OP9_SQL,
+    "op10_warc": OP10_SQL,
+}
