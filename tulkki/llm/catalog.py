@@ -5,6 +5,7 @@ from __future__ import annotations
 from tulkki.llm.language_id import op3_language_id
 from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tulkki.llm.mixing import op4_mix_sources
+from tulkki.llm.ngram_jaccard import op5_ngram_jaccard
 from tulkki.llm.substring_dedup import op1_substring_dedup
 from tulkki.llm.warc import OP10_SQL, op10_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
