@@ -7,10 +7,12 @@ from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tulkki.llm.mixing import op4_mix_sources
 from tulkki.llm.ngram_jaccard import op5_ngram_jaccard
 from tulkki.llm.substring_dedup import op1_substring_dedup
+from tulkki.llm.topk import OP2_SQL, op2_topk
 from tulkki.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_topk": op2_topk,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_topk": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
