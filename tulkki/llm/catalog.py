@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tulkki.llm.decontaminate import op6_decontamination
 from tulkki.llm.language_id import op3_language_id
+from tulkki.llm.licenses import op7_licenses
 from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tulkki.llm.mixing import op4_mix_sources
 from tulkki.llm.ngram_jaccard import op5_ngram_jaccard
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
