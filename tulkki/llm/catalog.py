@@ -8,6 +8,7 @@ from tulkki.llm.licenses import op7_licenses
 from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tulkki.llm.mixing import op4_mix_sources
 from tulkki.llm.ngram_jaccard import op5_ngram_jaccard
+from tulkki.llm.quality import op8_quality
 from tulkki.llm.substring_dedup import op1_substring_dedup
 from tulkki.llm.topk import OP2_SQL, op2_topk
 from tulkki.llm.warc import OP10_SQL, op10_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_decontamination": op6_decontamination,
     "op7_licenses": op7_licenses,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }

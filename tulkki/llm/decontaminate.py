@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tulkki.llm.columns import let
-from tulkki.llm.store import materialise
+from tulkki.llm.store import broadcast_if_few, materialise
 
 # Unit words that may follow a number.
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -71,11 +71,6 @@ def benchmark_windows(benchmark: DataFrame, window: int, least_words: int) -> Da
             .select("item_id", F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("hash"), "place", "length", "total"))
 
 
-def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Broadcast a narrow table of ``most`` rows at most; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough: int = 6, least_words: int = 5) -> DataFrame:
     """Matches of benchmark items in documents: (doc_id, tag, item_id,
     matched_windows, item_windows, slots).
@@ -96,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
         lengths = [window]
     hashed = docs.select("doc_id", "tag", F.transform(words(template(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
     each = [hashed.select("doc_id", "tag", F.posexplode(windows(F.col("h"), n)).alias("at", "hash"), F.lit(n).alias("length")) for n in lengths]
-    found = reduce(DataFrame.unionByName, each).join(_few(index), ["hash", "length"])
+    found = reduce(DataFrame.unionByName, each).join(broadcast_if_few(index), ["hash", "length"])
     aligned = (found.groupBy("doc_id", "tag", "item_id", "total", "length", (F.col("at") - F.col("place")).alias("offset"))
                .agg(F.countDistinct("place").alias("matched"), F.min("place").alias("first"), F.max("place").alias("last"))
                .where(F.col("matched") >= F.least("total", F.lit(enough))))
@@ -105,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
     # the words of either side, with the values of their slots, only where something matched
     theirs = (benchmark.select("item_id", words(marked(F.col("text"))).alias("b")).distinct()
               .withColumnRenamed("item_id", "i"))
-    ours = (docs.join(_few(aligned.select(F.col("tag").alias("t")).distinct()), F.col("tag") == F.col("t"))
+    ours = (docs.join(broadcast_if_few(aligned.select(F.col("tag").alias("t")).distinct()), F.col("tag") == F.col("t"))
             .select(F.col("tag").alias("t"), words(marked(F.col("text"))).alias("d")).dropDuplicates(["t"]))
     both = (aligned.join(ours, F.col("tag") == F.col("t")).join(theirs, F.col("item_id").eqNullSafe(F.col("i"))))
     span = F.sequence("first", F.col("last") + F.col("length") - 1)

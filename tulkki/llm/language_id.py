@@ -144,10 +144,19 @@ def train(texts: list[str], langs: list[str], window: int, filters: int, dim: in
 def training_sample(docs: DataFrame, per_lang: int, chars: int, seed: int) -> DataFrame:
     """(lang, text): for each language ``per_lang`` documents at most, the
     smallest by a hash of doc_id, and of each ``chars`` characters from a place
-    drawn by the same hash."""
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    drawn by the same hash.
+
+    Counts of the languages give a hash threshold that about twice as many
+    pass, so that a language of any size sends no more than that to its window."""
+    order = F.xxhash64(F.lit(seed), "doc_id")
     place = F.expr(f"CAST(1 + pmod(xxhash64({seed + 1}, doc_id), greatest(1, char_length(text) - {chars} + 1)) AS int)")
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", order.alias("h"), F.substr("text", place, F.lit(chars)).alias("text"))
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = usable.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    parts = 1 << 30
+    # a language with few documents passes whole
+    passes = (F.col("n") <= 4 * per_lang) | (F.pmod(order, F.lit(parts)) * F.col("n") < 2 * per_lang * parts)
+    rows = (usable.select("lang", order.alias("h"), "doc_id", F.substr("text", place, F.lit(chars)).alias("text"))
+            .join(counts, F.col("lang") == F.col("l")).withColumn("h", order).where(passes))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).orderBy("lang", "rank").select("lang", "text")
 
@@ -161,7 +170,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, chars: int = 512, window: int = 2
     return train([r["text"] for r in sample], [r["lang"] for r in sample], window, filters, dim, epochs, seed)
 
 
-def _predict(net: Network):
+def _predict(net: Network, keys: list[str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = np.array(net.langs, dtype=object), net.lookup()
         for batch in batches:
@@ -179,9 +188,8 @@ def _predict(net: Network):
             known = batch.column("letters").to_numpy(zero_copy_only=False)
             name = np.where(known, np.concatenate(names), UNDETERMINED) if names else []
             score = np.where(known, np.concatenate(scores), 0.0) if names else []
-            kept = [c for c in batch.schema.names if c not in ("text", "letters")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(name, pa.string()), pa.array(score, pa.float64())],
+                                             names=[*keys, "lang_pred", "score"])
     return task
 
 
@@ -196,14 +204,14 @@ def identify(docs: DataFrame, net: Network | None, keys: list[str]) -> DataFrame
     ``und`` with score 0 where the text is null or has no letter, or where
     there is no network.  Rows are independent of each other: repeated rows
     and null keys get a row each, an empty table gives an empty result, and
-    columns beside ``keys`` and text are left out.
+    columns beside ``keys`` (text may be one of them) are left out.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if net is None:
         return docs.select(*keys, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*keys, "text", letters.alias("letters"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.mapInArrow(_predict(net), f"{kinds}, lang_pred string, score double")
+    rows = docs.select(*dict.fromkeys([*keys, "text"]), letters.alias("letters"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.mapInArrow(_predict(net, keys), f"{kinds}, lang_pred string, score double")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -142,9 +142,9 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.append(hashlib.sha256(out).hexdigest())
             kept_text.append(out.decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tag"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()),
+            [batch.column("doc_id"), batch.column("tag"), batch.column("carried"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()),
              pa.array(digest, pa.string()), pa.array(kept_text, pa.string())],
-            names=["doc_id", "tag", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
+            names=["doc_id", "tag", "carried", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, shard_keys: int, salts: int) -> DataFrame:
@@ -169,26 +169,30 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, shard_keys: i
             .mapInArrow(_probe(min_docs), "doc_id long, tag long, h long, mark int"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = 1 << 18, salts: int = 8) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = 1 << 18, salts: int = 8,
+               carry: list[str] | None = None) -> DataFrame:
     """Drop, in every document, the lines whose key is found in ``min_docs`` documents.
 
     One row per input row: doc_id, tag, n_lines, n_dropped, kept_sha256,
     kept_text.  ``tag`` is a hash of doc_id and text.  A null or empty text is
     one empty line, and is kept; keys under ``min_chars`` code points are never
     dropped.  Each row counts as a document, repeated rows and null doc_ids
-    included.  Other columns are left out, so clashing names don't matter; an
-    empty table gives an empty result.  ``salts`` deals the probes of one line
+    included.  Columns named by ``carry`` follow, others are left out, so
+    clashing names don't matter; an empty table gives an empty result.  ``salts`` deals the probes of one line
     to several tasks, each with its copy of that shard's arrays.
     """
-    docs = docs.select("doc_id", "text")
+    carried = F.struct(*(carry or [F.lit(0).alias("nothing")]))
+    docs = docs.select("doc_id", "text", carried.alias("carried"))
     hits = (frequent_lines(docs, min_docs, min_chars, shard_keys, salts)
             .distinct().groupBy(F.col("tag").alias("hit_tag")).agg(F.collect_list(F.struct("h", "mark")).alias("hits")))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1),
                         lambda x: F.struct(F.xxhash64(line_key(x)).alias("h"), F.hash(line_key(x)).alias("mark")))
     tagged = docs.withColumn("tag", F.xxhash64("doc_id", "text"))
-    return (tagged.join(hits.hint("shuffle_hash"), F.col("tag") == F.col("hit_tag"), "left")
-            .select("doc_id", "tag", "text", lines.alias("lines"), "hits")
-            .mapInArrow(_drop, "doc_id long, tag long, n_lines long, n_dropped long, kept_sha256 string, kept_text string"))
+    kind = docs.schema["carried"].dataType.simpleString()
+    result = (tagged.join(hits.hint("shuffle_hash"), F.col("tag") == F.col("hit_tag"), "left")
+              .select("doc_id", "tag", "carried", "text", lines.alias("lines"), "hits")
+              .mapInArrow(_drop, f"doc_id long, tag long, carried {kind}, n_lines long, n_dropped long, kept_sha256 string, kept_text string"))
+    return result.select("doc_id", "tag", "n_lines", "n_dropped", "kept_sha256", "kept_text", *[f"carried.`{c}`" for c in carry or []])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

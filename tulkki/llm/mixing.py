@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tulkki.llm.store import materialise
+from tulkki.llm.store import broadcast_if_few, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 STATE = "doc_id long, src int, size long, whole int, p double, u double, leaf long, open boolean"
@@ -131,16 +131,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     for part in settled[1:]:
         result = result.unionByName(part)
     result = result.withColumn("copies", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
-    return (result.join(F.broadcast(targets.drop("docs")) if _few(targets) else targets.drop("docs"), "src")
+    return (result.join(broadcast_if_few(targets.drop("docs")), "src")
             .select("doc_id", "size", "source", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken")))
 
 
-def _few(targets: DataFrame, most: int = 100_000) -> bool:
-    """Whether the table of sources is small enough to broadcast."""
-    return targets.limit(most + 1).count() <= most
-
-
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

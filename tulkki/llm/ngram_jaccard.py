@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tulkki.llm.components import components
-from tulkki.llm.store import materialise
+from tulkki.llm.store import broadcast_if_few, materialise
 from tulkki.llm.words import Prefix, Words, mix, pieces
 
 CELL_BITS = 20
@@ -174,11 +174,6 @@ def _fragments(k: int, bits: int):
     return task
 
 
-def _checked_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Broadcast a table of a few longs a row if it has ``most`` rows at most."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, votes) that sizes and bitmaps leave."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
@@ -193,7 +188,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     pairs = materialise(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "doc_id", "tag"), "node")
     asked = materialise(asked.select("doc_id", "tag").distinct(), "asked")
-    sets = docs.join(_checked_broadcast(asked), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("text")
+    sets = docs.join(broadcast_if_few(asked), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("text")
     sets = materialise(sets.mapInArrow(_fragments(k, bits), "node long, fragment int, grams array<long>"), "fragments")
     ours = sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("x"))
     theirs = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("y"))
@@ -208,7 +203,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     similarity of ``percent`` / 100 at least.
 
     One row per input row: doc_id, n_shingles, component_id (the smallest
-    doc_id reachable by links, itself included).  A-Z are lower-cased.  A text
+    doc_id reachable by links, itself included), tag (a hash of doc_id and
+    text) and root (a number for each component).  A-Z are lower-cased.  A text
     of fewer words than ``k`` has its whole sequence as one gram; a null text
     or one without words has none, and is its own component.  Rows with a null
     doc_id link like others but lend no id; where a component has no id, it is
@@ -222,7 +218,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
 
     labels = materialise(sketch.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("one"))
                          .select("node", "one.doc_id", "one.tag"), "labels")
-    classes = materialise(sketch.join(_checked_broadcast(labels), ["node", "doc_id", "tag"]).dropDuplicates(["node"]), "classes")
+    classes = materialise(sketch.join(broadcast_if_few(labels), ["node", "doc_id", "tag"]).dropDuplicates(["node"]), "classes")
     tokens = classes.select(F.explode("prefix").alias("gram"), "node", "n")
     common = tokens.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     shared = materialise(tokens.join(common, "gram"), "shared")
@@ -251,13 +247,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
 
     ids = (labels.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = ids.join(least, "root").select("node", "component_id")
+    named = ids.join(least, "root").select("node", "root", "component_id")
     unset = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return (sketch.select("doc_id", "node", "n").join(named, "node", "left")
-            .select(unset("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("component_id", unset("component_id")))
+    return (sketch.select("doc_id", "tag", "node", "n").join(named, "node", "left")
+            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
+            .select(unset("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), unset("component_id").alias("component_id"),
+                    "tag", F.coalesce("root", "tag").alias("root")))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tag", "root")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +48,9 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.tulkki_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
+def broadcast_if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Broadcast a table of a few narrow columns if it has ``most`` rows at
+    most (tens of megabytes); a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
