@@ -76,8 +76,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
     matched_windows, item_windows, slots).
 
     A document matches an item where, at one offset, ``enough`` windows of the
-    item's template (all, if it has fewer) are found in the document's and the
-    slots in that stretch are consistent.  One row for each document and item,
+    item's template (if it has no more, all but one: its first word may look
+    like a name within a sentence) are found in the document's and the slots
+    in that stretch are consistent.  One row for each document and item,
     the best offset; ``tag`` is a hash of doc_id and text.  Null and empty
     texts match nothing, items under ``least_words`` words are too short to
     tell and match nothing, null ids are kept as ids.  Repeated rows of
@@ -94,7 +95,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
     found = reduce(DataFrame.unionByName, each).join(broadcast_if_few(index), ["hash", "length"])
     aligned = (found.groupBy("doc_id", "tag", "item_id", "total", "length", (F.col("at") - F.col("place")).alias("offset"))
                .agg(F.countDistinct("place").alias("matched"), F.min("place").alias("first"), F.max("place").alias("last"))
-               .where(F.col("matched") >= F.least("total", F.lit(enough))))
+               .where(F.col("matched") >= F.least(F.greatest(F.lit(1), F.col("total") - 1), F.lit(enough))))
     aligned = materialise(aligned, "aligned")
 
     # the words of either side, with the values of their slots, only where something matched

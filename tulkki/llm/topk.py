@@ -91,8 +91,8 @@ def _scan(low: int, high: int, width: int, k: int, emit: str):
                 dims = batch.column("dims")[i].as_py()
                 read = lambda c, t, i=i, b=batch: np.frombuffer(b.column(c)[i].as_buffer(), t)
                 keys, queries, floors = read("keys", np.int64), read("q_keys", np.int64), read("floors", np.float64)
-                cells = read("cells", np.uint8).reshape(-1, dims)
-                y = read("vectors", np.int64).reshape(-1, dims).astype(np.float64)
+                cells = read("cells", np.uint8).reshape(len(keys), dims)
+                y = read("vectors", np.int64).reshape(len(queries), dims).astype(np.float64)
                 rise, fall = np.maximum(y, 0), np.minimum(y, 0)
                 lo, hi = starts[cells].T, stops[cells].T
                 if emit == "floors":
