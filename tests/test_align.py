@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-import tulkki.operators.align as A
 from tulkki.operators.align import align_words
 
 GOLDEN = [
@@ -67,8 +66,7 @@ def test_random_against_brute_force():
         assert hits + s + d == len(r) and hits + s + i == len(h)
 
 
-def test_block_recompute_path(monkeypatch):
-    monkeypatch.setattr(A, "_FULL_STORE_BITS", 16)
+def test_many_blocks():
     rnd = random.Random(11)
     for _ in range(500):
         r = [str(rnd.randrange(4)) for _ in range(rnd.randint(0, 40))]
@@ -87,8 +85,7 @@ def test_long_pair_is_exact_and_whole():
 def test_spark_udf_metrics_and_m7(spark):
     from pyspark.sql import functions as F
 
-    from tulkki.functions import text as tx
-    from tulkki.operators.align import align_texts, with_word_distance
+    from tulkki.operators.align import align_texts, word_distance
     from tulkki.operators.metrics import wer, wil
     rows = [(i, r, h) for i, (r, h, *_ ) in enumerate(GOLDEN)]
     df = spark.createDataFrame(rows, "id int, r string, h string")
@@ -98,7 +95,6 @@ def test_spark_udf_metrics_and_m7(spark):
         assert tuple(row["al"]) == counts
         assert row["wer"] == pytest.approx(w)
         assert row["wil"] == pytest.approx(wl)
-    ws = df.select("id", tx.words("r").alias("rw"), tx.words("h").alias("hw"))
-    dist = {r["id"]: r["distance"] for r in with_word_distance(ws, "rw", "hw").collect()}
+    dist = {r["id"]: r["d"] for r in df.select("id", align_texts("r", "h").alias("al")).select("id", word_distance("al").alias("d")).collect()}
     for i, (_, _, (hits, s, d, ins), *_r) in enumerate(GOLDEN):
         assert dist[i] == s + d + ins

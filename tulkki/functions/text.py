@@ -27,6 +27,8 @@ PUNCT_CLASS = r"""[.,:;!?"'\\\-]"""
 WS = r"[\s\x1c-\x1f]"
 # line breaks of Python's str.splitlines
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+# line breaks of text files read with universal newlines
+FILE_LINE_BREAK = r"\r\n|\r|\n"
 # abbreviations that do not end a sentence (matched case-insensitively)
 ABBREVIATIONS = ["M", "Mme", "Mlle", "Mdlle", "Mr", "Mrs", "Dr", "Ms", "etc", "esim", "ks", "jne", "yms"]
 # recording name grammar: lang, speaker type, speaker gender, condition
@@ -70,12 +72,17 @@ def truncate_tokens(col, n: int) -> Column:
     return F.array_join(F.slice(words(col), 1, n), " ")
 
 
-def split_lines(col) -> Column:
+def split_lines(col, breaks: str = LINE_BREAK) -> Column:
     """Lines of a text (Python ``splitlines``), stripped, blanks dropped."""
-    parts = F.split(_c(col), LINE_BREAK)
+    parts = F.split(_c(col), breaks)
     return F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")
 
 
+def file_lines(col) -> Column:
+    """Lines of a file's text (universal newlines), stripped, blanks dropped."""
+    return split_lines(col, FILE_LINE_BREAK)
+
+
 def sentence_array(col) -> Column:
     """F2 as an array of sentences."""
     abbr = "|".join(ABBREVIATIONS)

@@ -1,4 +1,4 @@
-"""Word alignment (M1) and the Python-free edit distance (M7).
+"""Word alignment (M1) and edit distance (M7).
 
 M1 follows one fixed tie rule so that hits (and hence WIL) are reproducible:
 common prefix and suffix are trimmed as hits, then on the unit-cost matrix
@@ -8,10 +8,10 @@ D[i][j-1] = D[i-1][j-1] - 1, else the diagonal.
 
 The matrix is never materialised as numbers: the bit-parallel recurrence
 (Myers / Hyyro) gives, per reference word, the horizontal +1 / -1 deltas of a
-whole row as two integers, which is all the traceback needs.  Rows are kept in
-blocks; for very long pairs only block start states are kept and each block
-is recomputed once during the traceback, so memory stays about
-2 * sqrt(n) * m bits while the result stays exact for any length.
+whole row as two integers, which is all the traceback needs.  Only the start
+states of blocks of rows are kept, and each block that the traceback enters is
+computed again, so memory stays about 2 * sqrt(n) * m bits while the result is
+exact for any length.
 """
 
 from __future__ import annotations
@@ -30,9 +30,6 @@ ALIGN_TYPE = T.StructType([
     T.StructField("ins", T.LongType()),
 ])
 
-# pairs whose full delta store stays under this many bits keep every row
-_FULL_STORE_BITS = 1 << 24
-
 
 def _rows(r, pm, mask, top, vp, vn, score, start, stop, keep):
     """Advance the bit-parallel recurrence over reference rows [start, stop)."""
@@ -76,23 +73,19 @@ def align_words(ref: list, hyp: list) -> tuple[int, int, int, int]:
             pm[w] = pm.get(w, 0) | (1 << j)
         mask = (1 << m) - 1
         top = 1 << (m - 1)
-        block = n if n * m <= _FULL_STORE_BITS else max(1, math.isqrt(n))
+        block = max(1, math.isqrt(n))
         starts = []
         vp, vn, score = mask, 0, m
-        kept = [] if block >= n else None
         for b in range(0, n, block):
             starts.append((vp, vn, score))
-            vp, vn, score = _rows(r, pm, mask, top, vp, vn, score, b, min(n, b + block), kept)
+            vp, vn, score = _rows(r, pm, mask, top, vp, vn, score, b, min(n, b + block), None)
         cost = score
         # traceback, one block of rows at a time from the last
         i, j = n, m
         for bi in range(len(starts) - 1, -1, -1):
             b0 = bi * block
-            if kept is None:
-                rows: list = []
-                _rows(r, pm, mask, top, *starts[bi], b0, min(n, b0 + block), rows)
-            else:
-                rows = kept
+            rows: list = []
+            _rows(r, pm, mask, top, *starts[bi], b0, min(n, b0 + block), rows)
             while i > b0 and j > 0:
                 hp, hn = rows[i - 1 - b0]
                 if (hp >> (j - 1)) & 1:
@@ -131,8 +124,7 @@ def align_texts(ref_text, hyp_text) -> Column:
     """M1 on two whitespace-tokenised texts (cheaper Arrow transfer than word arrays)."""
     r = F.col(ref_text) if isinstance(ref_text, str) else ref_text
     h = F.col(hyp_text) if isinstance(hyp_text, str) else hyp_text
-    return F.when(r.isNotNull() | h.isNotNull(),
-                  align_texts_udf(F.coalesce(r, F.lit("")), F.coalesce(h, F.lit(""))))
+    return F.when(r.isNotNull() | h.isNotNull(), align_texts_udf(r, h))
 
 
 def align_counts(ref_words, hyp_words) -> Column:
@@ -145,43 +137,7 @@ def align_counts(ref_words, hyp_words) -> Column:
                   align_counts_udf(F.coalesce(r, empty), F.coalesce(h, empty)))
 
 
-def _code_point_utf8(k: Column) -> Column:
-    """UTF-8 bytes (hex) of the k-th symbol of an alphabet that skips surrogates.
-
-    Symbols start at U+4E00; the alphabet has about 1.08 million symbols, more
-    than the distinct words of any text a pair can hold in one row.
-    """
-    cp = F.when(k < 0xD800 - 0x4E00, k + 0x4E00).otherwise(k + 0x4E00 + 0x800)
-    three = F.concat(F.lpad(F.hex(F.lit(0xE0) + F.shiftright(cp, 12)), 2, "0"),
-                     F.lpad(F.hex(F.lit(0x80) + F.shiftright(cp, 6).bitwiseAND(0x3F)), 2, "0"),
-                     F.lpad(F.hex(F.lit(0x80) + cp.bitwiseAND(0x3F)), 2, "0"))
-    four = F.concat(F.lpad(F.hex(F.lit(0xF0) + F.shiftright(cp, 18)), 2, "0"),
-                    F.lpad(F.hex(F.lit(0x80) + F.shiftright(cp, 12).bitwiseAND(0x3F)), 2, "0"),
-                    F.lpad(F.hex(F.lit(0x80) + F.shiftright(cp, 6).bitwiseAND(0x3F)), 2, "0"),
-                    F.lpad(F.hex(F.lit(0x80) + cp.bitwiseAND(0x3F)), 2, "0"))
-    return F.when(cp < 0x10000, three).otherwise(four)
-
-
-def with_word_distance(df, ref_words: str, hyp_words: str, out: str = "distance"):
-    """M7 on a DataFrame: the pair's vocabulary is materialised once per row."""
-    from tulkki.sources.corpus import materialize
-    v = materialize(df, __vocab=F.array_distinct(F.concat(F.col(ref_words), F.col(hyp_words))))
-    return v.withColumn(out, word_distance(ref_words, hyp_words, F.col("__vocab"))).drop("__vocab")
-
-
-def word_distance(ref_words, hyp_words, vocab=None) -> Column:
-    """M7: word-level edit distance with JVM built-ins only.
-
-    Each distinct word of the pair becomes one code point, the two word lists
-    become strings, and Spark's ``levenshtein`` (code-point based) does the rest.
-    """
-    r = F.col(ref_words) if isinstance(ref_words, str) else ref_words
-    h = F.col(hyp_words) if isinstance(hyp_words, str) else hyp_words
-    if vocab is None:
-        vocab = F.array_distinct(F.concat(r, h))
-
-    def encode(ws):
-        hexes = F.transform(ws, lambda w: _code_point_utf8(F.array_position(vocab, w) - 1))
-        return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")
-
-    return F.levenshtein(encode(r), encode(h))
+def word_distance(counts) -> Column:
+    """M7: word-level edit distance, read off the alignment counts."""
+    c = F.col(counts) if isinstance(counts, str) else counts
+    return c["subs"] + c["dels"] + c["ins"]

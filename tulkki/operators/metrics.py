@@ -1,8 +1,8 @@
-"""Quality metrics built on the alignment counts and on relational plans."""
+"""Quality metrics on the counts of aligned pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -31,58 +31,3 @@ METEOR_ALPHA = 0.9
 METEOR_BETA = 3.0
 METEOR_GAMMA = 0.5
 # ---------------------------------------------------------------------------
-
-
-def _explode_words(df: DataFrame, keys: list[str], col: str, side: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(col).alias(f"{side}_pos", "word"))
-
-
-def _w(keys, pos):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys, "word").orderBy(F.col(pos).desc())
-
-
-def meteor_matches(pairs: DataFrame, keys, ref: str = "ref_words", hyp: str = "hyp_words",
-                   match_key=None) -> DataFrame:
-    """Exact-stage METEOR matches as rows (keys, hyp_pos, ref_pos).
-
-    The greedy back-to-front matching pairs the k-th last occurrence of a word
-    in the hypothesis with the k-th last occurrence in the reference, so the
-    match is an equi-join on (keys, word, k) with k from a window over
-    (keys, word): no group is larger than one word's occurrences in one pair.
-    ``match_key`` maps a word to its matching key (e.g. a stem).
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    mk = match_key or (lambda c: c)
-    h = _explode_words(pairs, keys, hyp, "hyp").withColumn("word", mk(F.col("word")))
-    r = _explode_words(pairs, keys, ref, "ref").withColumn("word", mk(F.col("word")))
-    h = h.withColumn("k", F.row_number().over(_w(keys, "hyp_pos")))
-    r = r.withColumn("k", F.row_number().over(_w(keys, "ref_pos")))
-    return h.join(r, [*keys, "word", "k"], "inner").select(*keys, "hyp_pos", "ref_pos")
-
-
-def meteor(pairs: DataFrame, keys, ref: str = "ref_words", hyp: str = "hyp_words",
-           out: str = "meteor") -> DataFrame:
-    """M4 (exact stage): per pair score = F_mean * (1 - gamma * (chunks/m)^beta).
-
-    Chunks are counted without ordering a whole pair: chunks = m minus the
-    matches whose successor (hyp_pos + 1, ref_pos + 1) is also a match, which
-    is one more equi-join on positions (so a huge pair spreads over tasks).
-    Pairs without matches come back as 0.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    m = meteor_matches(pairs, keys, ref, hyp)
-    nxt = m.select(*keys, (F.col("hyp_pos") - 1).alias("hyp_pos"), (F.col("ref_pos") - 1).alias("ref_pos"),
-                   F.lit(1).alias("cont"))
-    per = (m.join(nxt, [*keys, "hyp_pos", "ref_pos"], "left")
-            .groupBy(*keys).agg(F.count(F.lit(1)).alias("m"),
-                                (F.count(F.lit(1)) - F.count("cont")).alias("chunks")))
-    base = pairs.select(*keys, F.size(ref).alias("n_ref"), F.size(hyp).alias("n_hyp"))
-    j = base.join(per, keys, "left")
-    mm = F.col("m").cast("double")
-    p = mm / F.col("n_hyp")
-    r = mm / F.col("n_ref")
-    fmean = p * r / (METEOR_ALPHA * p + (1 - METEOR_ALPHA) * r)
-    pen = METEOR_GAMMA * F.pow(F.col("chunks") / mm, METEOR_BETA)
-    score = F.when(F.col("m").isNull() | (F.col("m") == 0), F.lit(0.0)).otherwise(fmean * (1 - pen))
-    return j.select(*keys, score.alias(out))

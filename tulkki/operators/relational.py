@@ -146,10 +146,10 @@ def language_pairs(langs: DataFrame, col: str = "lang") -> DataFrame:
     return a.crossJoin(b).filter(F.col("src_lang") != F.col("tgt_lang"))
 
 
-def fan_out(df: DataFrame, langs: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Each row x each other language (broadcast non-equi join)."""
-    t = langs.select(F.col(lang_col).alias("tgt_lang"))
-    return df.join(F.broadcast(t), df[lang_col] != t["tgt_lang"], "inner")
+def fan_out(df: DataFrame, langs: list[str], lang_col: str = "lang") -> DataFrame:
+    """Each row x each other declared language, in the row (no join)."""
+    others = F.filter(F.array(*[F.lit(x) for x in langs]), lambda x: x != F.col(lang_col))
+    return df.withColumn("tgt_lang", F.explode(others))
 
 
 def with_reference(pred: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,7 +166,7 @@ def with_asr_quality(mt: DataFrame, quality: DataFrame, keys: list[str]) -> Data
     out = mt.join(q, keys, "left")
     human = F.col(keys[-1]).isNull()
     for c in [c for c in quality.columns if c not in keys]:
-        lit = F.lit(0.0) if c in ("WER", "WIL", "High_WER_Percentage") else F.lit("N/A")
+        lit = F.lit(0.0) if c in ("WER", "WIL", "High_WER_Percentage") else F.lit(-1).cast("bigint") if c == "Line_Index" else F.lit("N/A")
         if c == "Audio_File_Name":
             lit = F.lit(dims.HUMAN_SOURCE)
         out = out.withColumn(c, F.when(human, lit).otherwise(F.col(f"__q_{c}"))).drop(f"__q_{c}")
@@ -295,11 +295,11 @@ def union_files(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def skip_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work not yet done (left anti join on the work key)."""
-    return todo.join(done.select(*keys).distinct(), keys, "left_anti")
+    return todo.join(done.select(*keys), keys, "left_anti")
 
 
 def require_inputs(todo: DataFrame, inputs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(work whose input exists, work whose input is missing -> reject rows)."""
-    have = inputs.select(*keys).distinct()
+    have = inputs.select(*keys)
     return (todo.join(have, keys, "left_semi"),
             todo.join(have, keys, "left_anti").withColumn("reject_reason", F.lit("missing_input")))

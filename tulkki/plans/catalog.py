@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from tulkki import dims
 from tulkki.functions import text as tx
 from tulkki.operators import relational as rel
+from tulkki.functions.columns import materialize
+from tulkki.plans import checkdata as corpus
 from tulkki.plans import sqltext as q
-from tulkki.sources import corpus
 
 CATALOG: dict = {}
 
@@ -185,12 +186,19 @@ def p2_j5_applicable_mt(spark, d):
     return rel.applicable_mt(pairs, F.broadcast(dims.mt_models(spark))).select("src_lang", "tgt_lang", "mt_model")
 
 
-@register("p3_valid_text", """
+@register("p3_valid_text", r"""
+WITH t AS (SELECT conv_id, turn, role, CASE conv_id % 4 WHEN 1 THEN text || ' ERROR: no audio' WHEN 2 THEN repeat(' ', CAST(turn AS INT) + 1) || chr(9)
+    WHEN 3 THEN NULL ELSE text END AS text FROM conversations)
 SELECT conv_id, turn, role,
-  (text IS NOT NULL AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0 AND NOT contains(text, 'ERROR')) AS valid
-FROM conversations""")
+  (text IS NOT NULL AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0 AND NOT contains(text, 'ERROR')) AS valid
+FROM t""")
 def p3_valid_text(spark, d):
-    c = _t(spark, d, "conversations")
+    """P3 on turns of which some are marked as failed, blank or missing."""
+    kind = F.col("conv_id") % 4
+    text = (F.when(kind == 1, F.concat("text", F.lit(" ERROR: no audio")))
+             .when(kind == 2, F.concat(F.repeat(F.lit(" "), (F.col("turn") + 1).cast("int")), F.lit("\t")))
+             .when(kind != 3, F.col("text")))
+    c = _t(spark, d, "conversations").withColumn("text", text)
     return c.select("conv_id", "turn", "role", F.coalesce(rel.valid_text("text"), F.lit(False)).alias("valid"))
 
 
@@ -285,10 +293,9 @@ x AS (SELECT doc_id, lang, CAST(i - 1 AS BIGINT) AS pos FROM s, unnest(range(1,
 SELECT x.doc_id, x.pos, x.lang AS src_lang, l.lang AS tgt_lang FROM x JOIN l ON x.lang <> l.lang""")
 def j6_fan_out(spark, d):
     docs = _t(spark, d, "documents")
-    langs = docs.select("lang").distinct()
     lines = docs.select("doc_id", "lang", F.posexplode(tx.split_lines("text")).alias("pos", "line")) \
                 .withColumn("pos", F.col("pos").cast("bigint"))
-    return rel.fan_out(lines, langs).select("doc_id", "pos", F.col("lang").alias("src_lang"), "tgt_lang")
+    return rel.fan_out(lines, corpus.CORPUS_LANGS).select("doc_id", "pos", F.col("lang").alias("src_lang"), "tgt_lang")
 
 
 @register("j7_task_grid", f"""
@@ -304,7 +311,7 @@ SELECT g.* FROM g SEMI JOIN have USING (src_lang, asr_model, grp, Condition_Code
 def j7_task_grid(spark, d):
     """ASR model x speaker group x condition x MT model, limited to existing transcripts."""
     docs = _t(spark, d, "documents")
-    pairs = rel.language_pairs(docs.select("lang").distinct())
+    pairs = rel.language_pairs(corpus.languages(spark))
     grid = (pairs.crossJoin(F.broadcast(dims.asr_models(spark).select("asr_model")))
                  .filter(rel.asr_model_applies(F.col("asr_model"), F.col("src_lang")))
                  .crossJoin(F.broadcast(dims.speaker_groups(spark).withColumnRenamed("Speaker_Group", "grp")))
@@ -412,7 +419,7 @@ def u1_p7_p8_compile_results(spark, d):
     asr = rel.with_task(out.select(F.col("asr_model").alias("Model"), F.col("lang").alias("Language"),
                                    F.concat(F.lit("c"), F.col("cond_no").cast("string")).alias("Condition_Code"),
                                    F.col("lang").alias("Source_Lang"), F.col("pred_path").alias("Pred_File_Path")), "ASR")
-    pairs = rel.language_pairs(docs.select("lang").distinct())
+    pairs = rel.language_pairs(corpus.languages(spark))
     mt = rel.with_task(rel.applicable_mt(pairs, F.broadcast(dims.mt_models(spark)))
                        .select(F.col("mt_model").alias("Model"), F.col("tgt_lang").alias("Language"),
                                F.col("src_lang").alias("Source_Lang"), F.col("tgt_lang").alias("Target_Lang"),
@@ -422,17 +429,88 @@ def u1_p7_p8_compile_results(spark, d):
 
 @register("u2_union_files", rf"""
 WITH {q.corpus_ctes()},
-f AS (SELECT doc_id, asr_model, regexp_extract(pred_path, '[^/]*$') AS fname FROM outs)
+f AS (SELECT doc_id, asr_model, CASE WHEN doc_id % 3 = 0 THEN replace(regexp_extract(pred_path, '[^/]*$'), '-', '_')
+    ELSE regexp_extract(pred_path, '[^/]*$') END AS fname FROM outs)
 SELECT doc_id, asr_model, fname FROM f WHERE regexp_matches(fname, '^[a-z]{{2}}-')
 UNION ALL
 SELECT doc_id, asr_model, fname FROM f WHERE regexp_matches(fname, '^[a-z]{{2}}_')""")
 def u2_union_files(spark, d):
+    """Names in either spelling; every third recording has its name with ``_``."""
+    name = tx.file_name("pred_path")
     out = corpus.asr_outputs(spark, _t(spark, d, "documents")).select(
-        "doc_id", "asr_model", tx.file_name("pred_path").alias("fname"))
+        "doc_id", "asr_model", F.when(F.col("doc_id") % 3 == 0, F.replace(name, F.lit("-"), F.lit("_"))).otherwise(name).alias("fname"))
     return rel.union_files(out.filter(F.col("fname").rlike("^[a-z]{2}-")),
                            out.filter(F.col("fname").rlike("^[a-z]{2}_")))
 
 
+@register("f7_f8_f12_f15_model_names", f"""
+WITH {q.corpus_ctes()},
+ids AS (SELECT unnest([{', '.join(repr(x) for x in [*dims.WAV2VEC2_MODELS.values(), *dims.OPUS_MODELS.values(), 'facebook/nllb-200-distilled-600M', 'nvidia/parakeet-tdt-0.6b-v3'])}]) AS model_id),
+x AS (SELECT doc_id, asr_model, regexp_extract(pred_path, '[^/]*$') AS fname FROM outs)
+SELECT doc_id, asr_model, model_id, translate(model_id, '/-.', '___') AS safe, regexp_extract(model_id, '[^/]*$') AS short, split_part(asr_model, '_', 1) AS family,
+  CASE WHEN lower(substr(fname, 1, 2)) IN ('fi', 'en', 'fr') THEN lower(substr(fname, 1, 2)) END AS lang_from_name
+FROM x, ids""")
+def f7_f8_f12_f15_model_names(spark, d):
+    """F7, F8 on the model ids, F12 on transcript names, F15 on model names: every transcript x model id."""
+    ids = [*dims.WAV2VEC2_MODELS.values(), *dims.OPUS_MODELS.values(), "facebook/nllb-200-distilled-600M", "nvidia/parakeet-tdt-0.6b-v3"]
+    x = corpus.asr_outputs(spark, _t(spark, d, "documents")).select("doc_id", "asr_model", tx.lang_from_name("pred_path").alias("lang_from_name"),
+                                                                     tx.model_family("asr_model").alias("family"),
+                                                                     F.explode(F.array(*[F.lit(i) for i in ids])).alias("model_id"))
+    return x.select("doc_id", "asr_model", "model_id", tx.safe_name("model_id").alias("safe"), tx.short_name("model_id").alias("short"), "family", "lang_from_name")
+
+
+@register("f13_f14_result_names", f"""
+WITH {q.corpus_ctes()},
+n AS (SELECT doc_id, asr_model, asr_folder, recording, lang, (['en', 'fr', 'de', 'es'])[doc_id % 4 + 1] AS tgt FROM outs)
+SELECT doc_id, asr_model, recording || '_' || asr_model || '_transcription.txt' AS transcript,
+  recording || '_nllb_' || lang || '2' || tgt || '_results.txt' AS prediction, 'asr_eval_' || lang || '_' || asr_folder || '.json' AS asr_eval,
+  'mt_evaluation_nllb_' || lang || '2' || tgt || '.json' AS mt_eval,
+  CASE WHEN doc_id % 5 = 0 THEN 'Human Source' WHEN doc_id % 5 = 1 THEN 'N/A (ASR Task)' ELSE 'ASR Source (' || lang || '_' || asr_folder || ')' END AS status
+FROM n""")
+def f13_f14_result_names(spark, d):
+    """all four kinds of names; F14: source status of human, ASR and MT rows."""
+    o = corpus.asr_outputs(spark, _t(spark, d, "documents"))
+    tgt = F.element_at(F.array(*[F.lit(x) for x in corpus.CORPUS_LANGS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    o = o.withColumn("tgt", tgt).withColumn("asr_eval", tx.result_name("asr_eval", lang="lang", model="asr_folder"))
+    path = F.when(F.col("doc_id") % 10 == 0, F.lit("Human Source")).when(F.col("doc_id") % 5 != 0, F.concat(F.lit("data/results/evaluation/asr/"), "asr_eval"))
+    task = F.when(F.col("doc_id") % 5 == 1, F.lit("ASR")).otherwise(F.lit("MT"))
+    return o.select("doc_id", "asr_model", tx.result_name("asr_transcript", base="recording", model="asr_model").alias("transcript"),
+                    tx.result_name("mt_prediction", base="recording", model=F.lit("nllb"), src="lang", tgt="tgt").alias("prediction"), "asr_eval",
+                    tx.result_name("mt_eval", model=F.lit("nllb"), src="lang", tgt="tgt").alias("mt_eval"), tx.source_status(path, task).alias("status"))
+
+
+@register("j4_language_lookups", f"""
+SELECT d.doc_id, coalesce(l.lang_full, d.lang) AS lang_full, coalesce(l.wav2vec2_model, d.lang) AS wav2vec2_model
+FROM documents d LEFT JOIN {q.values([(c, dims.LANGUAGE_NAMES[c], dims.WAV2VEC2_MODELS[c]) for c in dims.LANGUAGES], ["lang", "lang_full", "wav2vec2_model"])} l ON d.lang = l.lang""")
+def j4_language_lookups(spark, d):
+    """Language name and wav2vec2 model, the code itself where there is none."""
+    docs, langs = _t(spark, d, "documents").select("doc_id", "lang"), dims.languages(spark)
+    named = rel.with_code(docs, langs, "lang", "lang", "lang_full", "lang_full")
+    return rel.with_code(named, langs, "lang", "lang", "wav2vec2_model", "wav2vec2_model").select("doc_id", "lang_full", "wav2vec2_model")
+
+
+@register("b4_translate_job", f"""
+WITH f AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) || '.txt' ELSE lang || '-' || CAST(doc_id AS VARCHAR) || '.part.txt' END AS file_name,
+    lang, doc_id % 7 = 0 AS unknown, {q.split_lines('text')} AS ls FROM documents),
+l AS (SELECT file_name, lang, unknown, CAST(i - 1 AS BIGINT) AS pos, ls[i] AS line FROM f, unnest(range(1, len(ls) + 1)) u(i)),
+x AS (SELECT l.file_name, l.lang, l.pos, l.line, t.tgt, m.mt_model, m.mt_folder
+      FROM l, (SELECT unnest(['en', 'fr', 'de', 'es']) AS tgt) t, {q.MT_MODELS} m
+      WHERE NOT unknown AND lang <> tgt AND (contains(m.mt_model, lang || '_' || tgt) OR starts_with(m.mt_model, 'nllb')))
+SELECT 'data/results/mt/' || mt_folder || '/' || replace(regexp_replace(file_name, '\\.[^.]*$', ''), '-', '_') || '_' || split_part(mt_model, '_', 1) || '_' || lang || '2' || tgt || '_results.txt' AS path,
+  pos, split_part(mt_model, '_', 1) || ': ' || array_to_string(list_reverse(string_split(line, ' ')), ' ') AS text, NULL AS reject_reason FROM x
+UNION ALL
+SELECT file_name, pos, line, 'unknown_language' FROM l WHERE unknown""")
+def b4_translate_job(spark, d):
+    """B4 on all documents as files; the names of some tell no language."""
+    from tulkki.plans.jobs import translate_job
+    doc = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), doc, F.lit(".txt"))).otherwise(F.concat("lang", F.lit("-"), doc, F.lit(".part.txt")))
+    lines = _t(spark, d, "documents").select(name.alias("file_name"), F.posexplode(tx.split_lines("text")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("bigint"))
+    good, bad = translate_job(lines, tagged_reverse_model, corpus.CORPUS_LANGS)
+    return (good.select("path", "pos", "text", F.lit(None).cast("string").alias("reject_reason"))
+            .unionByName(bad.select(F.col("file_name").alias("path"), "pos", "text", "reject_reason")))
+
+
 @register("s10_skip_done", f"""
 WITH {q.corpus_ctes()},
 done AS (SELECT DISTINCT doc_id, 'whisper_large_v2' AS asr_model FROM labels)
@@ -514,22 +592,23 @@ s AS (SELECT pw.doc_id, pw.asr_model, pw.lang, pw.pos,
       FROM pw LEFT JOIN c USING (doc_id, asr_model, pos))"""
 
 
+def _meteor(spark, d):
+    from tulkki.operators.scoring import meteor_score, pair_scores
+    lp = corpus.line_pairs(spark, _t(spark, d, "documents"))
+    sc = lp.select("doc_id", "lang", "asr_model", F.col("pos").cast("bigint").alias("pos"),
+                   pair_scores(tx.normalize("ref"), tx.normalize("hyp"), words=False, ter=False).alias("s"))
+    return sc.withColumn("meteor", meteor_score("s"))
+
+
 @register("m4_meteor_exact", _METEOR_SQL + "\nSELECT doc_id, asr_model, pos, round(meteor, 6) AS meteor FROM s")
 def m4_meteor_exact(spark, d):
-    from tulkki.operators.metrics import meteor
-    pw = line_pair_words(spark, d)
-    return meteor(pw, ["doc_id", "asr_model", "pos"]).select("doc_id", "asr_model", "pos", _r6(F.col("meteor")).alias("meteor"))
+    return _meteor(spark, d).select("doc_id", "asr_model", "pos", _r6(F.col("meteor")).alias("meteor"))
 
 
 @register("a6_corpus_meteor", _METEOR_SQL + "\nSELECT lang, asr_model, round(avg(meteor), 6) AS meteor, count(*) AS n FROM s GROUP BY lang, asr_model")
 def a6_corpus_meteor(spark, d):
-    from tulkki.operators.metrics import meteor
-    pw = line_pair_words(spark, d)
-    keys = ["doc_id", "asr_model", "pos"]
-    sc = meteor(pw, keys).join(pw.select(*keys, "lang"), keys)
-    return rel.corpus_mean(sc, ["lang", "asr_model"], "meteor", "meteor") \
-              .join(sc.groupBy("lang", "asr_model").agg(F.count(F.lit(1)).alias("n")), ["lang", "asr_model"]) \
-              .select("lang", "asr_model", _r6(F.col("meteor")).alias("meteor"), "n")
+    return (_meteor(spark, d).groupBy("lang", "asr_model").agg(F.avg("meteor").alias("meteor"), F.count(F.lit(1)).alias("n"))
+            .select("lang", "asr_model", _r6(F.col("meteor")).alias("meteor"), "n"))
 
 
 def reverse_words_model(name):
@@ -572,7 +651,7 @@ def b2_route_and_map(spark, d):
     from tulkki.operators.infer import batch_map
     docs = _t(spark, d, "documents")
     lines = s1_read_lines(spark, d).join(docs.select("doc_id", "lang"), "doc_id")
-    fan = rel.fan_out(lines, docs.select("lang").distinct())
+    fan = rel.fan_out(lines, corpus.CORPUS_LANGS)
     routed = rel.applicable_mt(fan, F.broadcast(dims.mt_models(spark).select("mt_model")), "lang", "tgt_lang")
     return batch_map(routed, tagged_reverse_model, ["line"], "prediction", batch_size=4, model_col="mt_model") \
         .select("doc_id", "pos", "tgt_lang", "mt_model", "prediction")
@@ -590,7 +669,7 @@ FROM s, unnest(range(1, len(starts) + 1)) u(k)""")
 def b5_overlap_chunks(spark, d):
     from tulkki.operators.infer import chunk_items, overlap_chunks
     docs = _t(spark, d, "documents")
-    ws = corpus.materialize(docs.select("doc_id", "text"), ws=tx.words("text")).drop("text")
+    ws = materialize(docs.select("doc_id", "text"), ws=tx.words("text")).drop("text")
     ch = ws.select("doc_id", "ws", F.explode(overlap_chunks("ws", 30, 4, 2)).alias("c"))
     return ch.select("doc_id", "c.chunk_no", "c.start", "c.n_items", "c.stride_left", "c.stride_right",
                      F.array_join(chunk_items("ws", "c.start", 30), " ").alias("text"))
@@ -644,13 +723,11 @@ def m1_align_lines(spark, d):
 
 @register("m7_word_distance")
 def m7_word_distance(spark, d):
-    """M7: word edit distance per line pair with JVM built-ins only."""
-    from tulkki.operators.align import with_word_distance
+    """M7: word edit distance per line pair, read off the alignment counts."""
+    from tulkki.operators.align import align_texts, word_distance
     lp = corpus.line_pairs(spark, _t(spark, d, "documents"))
-    w = corpus.materialize(lp.select("doc_id", "asr_model", F.col("pos").cast("bigint").alias("pos"), "ref", "hyp"),
-                           r=tx.words(tx.normalize("ref")), h=tx.words(tx.normalize("hyp"))).drop("ref", "hyp")
-    return with_word_distance(w, "r", "h").select("doc_id", "asr_model", "pos",
-                                                  F.col("distance").cast("bigint").alias("distance"))
+    w = lp.select("doc_id", "asr_model", F.col("pos").cast("bigint").alias("pos"), align_texts(tx.normalize("ref"), tx.normalize("hyp")).alias("al"))
+    return w.select("doc_id", "asr_model", "pos", word_distance("al").alias("distance"))
 
 
 @register("a4_corpus_wer")
@@ -677,34 +754,141 @@ def m5_a5_ter(spark, d):
         "src_lang", "tgt_lang", "mt_model", _r6(F.col("corpus_ter")).alias("corpus_ter"))
 
 
-def mt_results(spark, d):
+def mt_results(spark, d, **how):
     from tulkki.plans.evaluate import evaluate_mt
     seg = corpus.mt_segments(spark, _t(spark, d, "documents"))
-    return evaluate_mt(seg, overlap_scorer)
+    return evaluate_mt(seg, overlap_scorer, **how)
 
 
 @register("e2_mt_human_source")
 def e2_mt_human_source(spark, d):
-    """MT record per translated document, human source."""
-    r = mt_results(spark, d)
-    return r.select("doc_id", "Task", "Model", "Language", "Source_Lang", "Target_Lang", "ASR_WER_Status",
-                    _r6(F.col("METEOR")).alias("METEOR"), _r6(F.col("TER")).alias("TER"),
-                    _r6(F.col("COMET")).alias("COMET"))
+    """The MT record of each translated document, human source, with all its fields."""
+    r = mt_results(spark, d).drop("src_lang", "tgt_lang", "mt_model", "asr_model")
+    return r.withColumns({c: _r6(F.col(c)) for c in ("METEOR", "TER", "COMET")})
+
+
+_MT_SEGMENTS = f"""
+s AS (SELECT doc_id, lang, cond_no, sents FROM (
+  SELECT doc_id, lang, CAST(doc_id % 6 + 1 AS INTEGER) AS cond_no, {q.split_lines('t')} AS sents FROM (
+    SELECT doc_id, lang, replace(regexp_replace(regexp_replace({q.strip('text')},
+        '(^|[^\\pL\\pN_])({_ABBR})\\.\\s*', '\\1\\2{_PH}', 'gi'), '\\.\\s*', '.' || chr(10), 'g'), '{_PH}', '. ') AS t FROM documents))),
+t AS (SELECT *, list_filter(['en', 'fr', 'de', 'es'], lambda x: x <> lang) AS others FROM s),
+u AS (SELECT doc_id, cond_no, sents, lang AS src_lang, others[doc_id % len(others) + 1] AS tgt_lang FROM t),
+v AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND 'opus_mt_' || src_lang || '_' || tgt_lang IN ({', '.join(repr(x) for x in dims.MT_MODELS)})
+             THEN 'opus_mt_' || src_lang || '_' || tgt_lang ELSE 'nllb' END AS mt_model FROM u),
+g AS (SELECT doc_id, src_lang, tgt_lang, mt_model, cond_no, i - 1 AS pos, CASE WHEN mt_model = 'nllb' THEN 11 ELSE 12 END AS k,
+        array_to_string(list_reverse(string_split(sents[i], ' ')), ' ') AS ref FROM v, unnest(range(1, len(sents) + 1)) x(i)),
+seg AS (SELECT *, {q.strip(q.corrupt_line('ref', 'doc_id', 'pos', 'k', 'cond_no'))} AS hyp FROM g),
+pw AS (SELECT doc_id, pos, src_lang, tgt_lang, mt_model, {q.words(q.normalize('ref'))} AS r, {q.words(q.normalize('hyp'))} AS h FROM seg)"""
+
+
+@register("e2_meteor_comet", f"""
+WITH {_MT_SEGMENTS},
+hw AS (SELECT doc_id, pos, word, hp, row_number() OVER (PARTITION BY doc_id, pos, word ORDER BY hp DESC) AS k
+       FROM (SELECT doc_id, pos, unnest(h) AS word, unnest(range(len(h))) AS hp FROM pw)),
+rw AS (SELECT doc_id, pos, word, rp, row_number() OVER (PARTITION BY doc_id, pos, word ORDER BY rp DESC) AS k
+       FROM (SELECT doc_id, pos, unnest(r) AS word, unnest(range(len(r))) AS rp FROM pw)),
+m AS (SELECT hw.doc_id, hw.pos, hw.hp, rw.rp FROM hw JOIN rw USING (doc_id, pos, word, k)),
+c AS (SELECT m.doc_id, m.pos, count(*) AS mm, count(*) - count(n.hp) AS ch
+      FROM m LEFT JOIN m n ON m.doc_id = n.doc_id AND m.pos = n.pos AND n.hp = m.hp + 1 AND n.rp = m.rp + 1 GROUP BY ALL),
+sc AS (SELECT pw.*, CASE WHEN coalesce(c.mm, 0) = 0 THEN 0.0 ELSE
+          ((c.mm::DOUBLE / len(h)) * (c.mm::DOUBLE / len(r)) / (0.9 * (c.mm::DOUBLE / len(h)) + 0.1 * (c.mm::DOUBLE / len(r))))
+          * (1 - 0.5 * power(c.ch::DOUBLE / c.mm, 3)) END AS meteor,
+          CASE WHEN len(list_distinct(list_concat(h, r))) = 0 THEN NULL
+              ELSE round(len(list_intersect(list_distinct(h), list_distinct(r)))::DOUBLE / len(list_distinct(list_concat(h, r))), 6) END AS comet
+      FROM pw LEFT JOIN c USING (doc_id, pos))
+SELECT doc_id, mt_model AS Model, src_lang AS Source_Lang, tgt_lang AS Target_Lang, 'Human Source' AS ASR_WER_Status,
+  round(avg(meteor), 6) AS METEOR, round(avg(comet), 4) AS COMET,
+  'data/' || src_lang || '/' || src_lang || '_SOURCE.txt' AS Source_File, 'data/' || tgt_lang || '/' || tgt_lang || '_SOURCE.txt' AS Ref_File
+FROM sc GROUP BY doc_id, mt_model, src_lang, tgt_lang""")
+def e2_meteor_comet(spark, d):
+    """E2 without TER, over all documents."""
+    r = mt_results(spark, d, ter=False)
+    return r.select("doc_id", "Model", "Source_Lang", "Target_Lang", "ASR_WER_Status", _r6(F.col("METEOR")).alias("METEOR"),
+                    F.round("COMET", 4).alias("COMET"), "Source_File", "Ref_File")
 
 
 @register("e3_j9_mt_on_asr_source")
 def e3_j9_mt_on_asr_source(spark, d):
-    """MT records flagged with the quality of each ASR source of their source language."""
-    from tulkki.plans.evaluate import asr_quality, evaluate_mt_on_asr
-    r = evaluate_mt_on_asr(mt_results(spark, d), asr_quality(asr_results(spark, d)))
-    return r.select("doc_id", "Model", "Source_Lang", "Target_Lang", "ASR_WER_Status", "Condition_Code",
-                    _r6(F.col("WER")).alias("WER"), _r6(F.col("High_WER_Percentage")).alias("High_WER_Percentage"),
-                    _r6(F.col("METEOR")).alias("METEOR"), _r6(F.col("TER")).alias("TER"))
+    """Translations of transcripts, flagged with the transcripts' quality, beside those of a human source."""
+    from tulkki.plans.evaluate import evaluate_mt_on_asr
+    lists = corpus.mt_on_asr_lists(spark, _t(spark, d, "documents"))
+    r = evaluate_mt_on_asr(lists, asr_results(spark, d), overlap_scorer)
+    r = r.unionByName(mt_results(spark, d)).drop("src_lang", "tgt_lang", "mt_model")
+    return r.withColumns({c: _r6(F.col(c)) for c in ("WER", "WIL", "High_WER_Percentage", "METEOR", "TER", "COMET")})
 
 
 @register("e4_summary")
 def e4_summary(spark, d):
     """ASR and MT records unioned by name, known columns first (U1 + P7)."""
     asr = asr_results(spark, d).drop("al", "reject_reason", "doc_id")
-    mt = mt_results(spark, d).drop("doc_id", "src_lang", "tgt_lang", "mt_model")
+    mt = mt_results(spark, d).drop("doc_id", "src_lang", "tgt_lang", "mt_model", "asr_model")
     return rel.compile_results(asr.drop("Ref_Text_Normalized", "Pred_Text_Normalized"), mt)
+
+
+# ----------------------------------------------------------------- alignment and plain edit rate on the whole benchmark
+# table, where SQL can run the dynamic programme: every item x ASR model x condition
+
+_BENCH_PAIRS = f"""
+p AS (SELECT b.item_id, m.asr_model, m.model_no, c.Condition_Code, CAST(substr(c.Condition_Code, 2) AS INTEGER) AS cond_no, {q.normalize('b.text')} AS ref
+      FROM benchmark b, {q.ASR_MODELS} m, {q.CONDITIONS} c),
+pairs AS (SELECT row_number() OVER () AS pair_id, item_id, asr_model, Condition_Code, {q.words('ref')} AS r,
+            {q.words(q.corrupt_line('ref', 'item_id', '0', 'model_no', 'cond_no'))} AS h FROM p)"""
+_BENCH_COUNTS = f"""WITH RECURSIVE {_BENCH_PAIRS},
+{q.ALIGN_CTES},
+counts AS (SELECT p.item_id, p.asr_model, p.Condition_Code, e.* FROM e JOIN pairs p USING (pair_id))"""
+
+
+def _bench_scores(spark, d, **how):
+    from tulkki.operators.scoring import pair_scores
+    b = corpus.benchmark_pairs(spark, _t(spark, d, "benchmark"))
+    return b.withColumn("s", pair_scores("ref", "hyp", **how))
+
+
+@register("m1_m3_m7_align_benchmark", _BENCH_COUNTS + """
+SELECT item_id, asr_model, Condition_Code, hits, subs, dels, ins, subs + dels + ins AS distance,
+  CASE WHEN nr > 0 THEN round((subs + dels + ins)::DOUBLE / nr, 6) END AS wer,
+  CASE WHEN nr > 0 THEN round(CASE WHEN nh = 0 THEN 1.0 ELSE 1 - hits::DOUBLE / nr * (hits::DOUBLE / nh) END, 6) END AS wil
+FROM counts""")
+def m1_m3_m7_align_benchmark(spark, d):
+    """M1, M2, M3, M7 of every benchmark item x ASR model x condition."""
+    from tulkki.operators.align import word_distance
+    from tulkki.operators.metrics import wer, wil
+    a = _bench_scores(spark, d, meteor=False, ter=False)
+    return a.select("item_id", "asr_model", "Condition_Code", "s.hits", "s.subs", "s.dels", "s.ins", word_distance("s").alias("distance"),
+                    _r6(wer("s")).alias("wer"), _r6(wil("s")).alias("wil"))
+
+
+@register("a2_a3_report_benchmark", _BENCH_COUNTS + """,
+w AS (SELECT *, CASE WHEN nr > 0 THEN (subs + dels + ins)::DOUBLE / nr END AS wer,
+        CASE WHEN nr > 0 THEN CASE WHEN nh = 0 THEN 1.0 ELSE 1 - hits::DOUBLE / nr * (hits::DOUBLE / nh) END END AS wil FROM counts)
+SELECT asr_model, Condition_Code, round(avg(wer), 6) AS mean_wer, round(avg(wil), 6) AS mean_wil,
+  round(count(*) FILTER (WHERE wer > 0.4)::DOUBLE / count(*), 6) AS high_wer_share, count(*) AS n_files
+FROM w GROUP BY ALL""")
+def a2_a3_report_benchmark(spark, d):
+    """A2, A3 by ASR model and condition."""
+    from tulkki.operators.metrics import wer, wil
+    a = _bench_scores(spark, d, meteor=False, ter=False).select("asr_model", "Condition_Code", wer("s").alias("WER"), wil("s").alias("WIL"))
+    r = rel.quality_report(a, ["asr_model", "Condition_Code"])
+    return r.withColumns({c: _r6(F.col(c)) for c in ("mean_wer", "mean_wil", "high_wer_share")})
+
+
+@register("a4_corpus_wer_benchmark", _BENCH_COUNTS + """
+SELECT asr_model, round(sum(subs + dels + ins)::DOUBLE / sum(nr), 6) AS corpus_wer,
+  round(1 - sum(hits)::DOUBLE * sum(hits) / (sum(nr)::DOUBLE * sum(nh)), 6) AS corpus_wil,
+  CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(subs) AS BIGINT) AS subs, CAST(sum(dels) AS BIGINT) AS dels, CAST(sum(ins) AS BIGINT) AS ins
+FROM counts GROUP BY asr_model""")
+def a4_corpus_wer_benchmark(spark, d):
+    """A4 by ASR model."""
+    r = rel.corpus_wer(_bench_scores(spark, d, meteor=False, ter=False), ["asr_model"], "s")
+    return r.withColumns({c: _r6(F.col(c)) for c in ("corpus_wer", "corpus_wil")})
+
+
+@register("m5_a5_edit_rate_benchmark", _BENCH_COUNTS + """
+SELECT asr_model, Condition_Code, round(100.0 * sum(subs + dels + ins) / sum(nr), 6) AS corpus_ter FROM counts GROUP BY ALL""")
+def m5_a5_edit_rate_benchmark(spark, d):
+    """M5, A5 without shifts and beam: plain edit rate."""
+    from tulkki.operators.ter import TerLimits
+    a = _bench_scores(spark, d, meteor=False, words=False, limits=TerLimits(max_shifts=0, beam=None))
+    a = a.select("asr_model", "Condition_Code", F.col("s.ter_edits").alias("ter_edits"), F.col("s.ref_len").alias("ter_ref_len"))
+    return rel.corpus_ter(a, ["asr_model", "Condition_Code"]).withColumn("corpus_ter", _r6(F.col("corpus_ter")))

@@ -7,8 +7,9 @@ transcript whose words are a deterministic corruption of the reference, with
 an error rate that rises with the recording condition.  Every document and
 every line takes part; nothing is sampled.
 
-All derivations stay inside one row (array higher-order functions), so
-building the corpus needs no shuffle.
+All derivations stay inside one row (array higher-order functions).  One
+repartition by document and model comes before them, whatever the input: it
+spreads the work that follows, which is done row by row and heavy.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tulkki import dims
 from tulkki.functions import text as tx
+from tulkki.functions.columns import materialize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -45,32 +47,6 @@ def _corrupt_line(line: Column, doc: Column, pos: Column, k: Column, c: Column)
     return F.array_join(F.flatten(F.transform(F.split(line, " "), word)), " ")
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-spread rows over the cluster when the scan gave too few partitions.
-
-    Alignment cost is per row and heavy, so a small file read as one split
-    would run in one task.  Large inputs already have many splits and are
-    left alone (no extra shuffle).
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism * 2
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys)
-
-
-def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
-    """Add columns computed exactly once per row.
-
-    Catalyst inlines a projected expression into every lambda that uses it,
-    so an array used inside ``transform``/``filter`` would be rebuilt per
-    element.  Producing the columns through a one-row ``inline`` generator
-    makes them generator output, which is never inlined.
-    """
-    keep = [c for c in df.columns if c not in exprs]
-    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(k) for k, e in exprs.items()]))))
-
-
 def recordings(documents: DataFrame) -> DataFrame:
     """One recording per document: key, language, speaker group, condition, name.
 
@@ -105,7 +81,7 @@ def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     from tulkki.operators.relational import asr_model_applies
     models = (rec.withColumn("m", F.explode(F.filter(reg, lambda m: asr_model_applies(m["asr_model"], F.col("lang")))))
                  .select("*", "m.*").drop("m"))
-    models = spread(models, ["doc_id", "asr_model"])
+    models = models.repartition("doc_id", "asr_model")
     out = materialize(models, ref_lines=tx.split_lines(F.col("text"))).drop("text")
     pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
         ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
@@ -126,12 +102,11 @@ def line_pairs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     # one hypothesis line per reference line (an emptied line stays, as '')
     pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
         ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
-    out = (a.select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
+    return (a.select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
                     F.posexplode(F.arrays_zip(F.col("ref_lines").alias("ref"), pred.alias("hyp")))
                      .alias("pos", "p"))
             .select("doc_id", "pos", "lang", "asr_model", "model_no", "cond_no", "group",
                     F.col("p.ref").alias("ref"), tx.strip(F.col("p.hyp")).alias("hyp")))
-    return spread(out, ["doc_id", "asr_model", "pos"])
 
 
 # --- fixed values: corpus languages used as MT sources ------------------------
@@ -139,28 +114,74 @@ CORPUS_LANGS = ["en", "fr", "de", "es"]
 # ---------------------------------------------------------------------------
 
 
+def languages(spark: SparkSession) -> DataFrame:
+    """The declared corpus languages: a dimension of fixed size."""
+    return spark.createDataFrame([(x,) for x in CORPUS_LANGS], "lang string")
+
+
+def benchmark_pairs(spark: SparkSession, benchmark: DataFrame) -> DataFrame:
+    """Every benchmark item x ASR model x condition: the normalised text and a corruption of it.
+
+    Columns: item_id, asr_model, Condition_Code, ref, hyp."""
+    models = F.array(*[F.struct(F.lit(n).alias("asr_model"), F.lit(i + 1).alias("model_no")) for i, n in enumerate(dims.ASR_MODELS)])
+    codes = F.array(*[F.struct(F.lit(c[0]).alias("Condition_Code"), F.lit(int(c[0][1:])).alias("cond_no")) for c in dims.CONDITIONS])
+    b = benchmark.select("item_id", tx.normalize("text").alias("ref"), F.explode(models).alias("m"))
+    b = b.select("item_id", "ref", "m.*", F.explode(codes).alias("c")).select("item_id", "ref", "asr_model", "model_no", "c.*")
+    hyp = _corrupt_line(F.col("ref"), F.col("item_id"), F.lit(0), F.col("model_no"), F.col("cond_no"))
+    return b.select("item_id", "asr_model", "Condition_Code", "ref", hyp.alias("hyp"))
+
+
+def _mt_model(src: Column, tgt: Column, doc: Column) -> Column:
+    """The Opus model of the pair for even keys when there is one, else NLLB."""
+    opus = F.concat(F.lit("opus_mt_"), src, F.lit("_"), tgt)
+    return F.when(opus.isin(*dims.MT_MODELS.keys()) & (doc % 2 == 0), opus).otherwise(F.lit("nllb"))
+
+
+def _other_language(lang: Column, doc: Column) -> Column:
+    others = F.filter(F.array(*[F.lit(x) for x in CORPUS_LANGS]), lambda x: x != lang)
+    return F.element_at(others, (doc % F.size(others) + 1).cast("int"))
+
+
+def _translated(line: Column) -> Column:
+    """The stand-in for a reference translation: the words in reverse, so that source and reference differ."""
+    return F.array_join(F.reverse(F.split(line, " ")), " ")
+
+
+def _mt_number(model: Column) -> Column:
+    return F.when(model == "nllb", F.lit(11)).otherwise(F.lit(12))
+
+
 def mt_segments(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Sentence segments of every document as translation test items.
 
-    Each document is a translation into its own language from one other
-    corpus language (chosen by key); the MT model is the Opus model of the
-    pair for even keys when one exists, else NLLB.  The hypothesis is a
-    deterministic corruption of the reference sentence.
+    Each document is translated into one other corpus language (chosen by
+    key).  The reference is the source sentence with its words in reverse, the
+    hypothesis a deterministic corruption of the reference.
 
     Columns: doc_id, pos, src_lang, tgt_lang, mt_model, cond_no, src, ref, hyp.
     """
-    others = F.filter(F.array(*[F.lit(x) for x in CORPUS_LANGS]), lambda x: x != F.col("lang"))
-    src_lang = F.element_at(others, (F.col("doc_id") % F.size(others) + 1).cast("int"))
-    opus = F.concat(F.lit("opus_mt_"), F.col("src_lang"), F.lit("_"), F.col("lang"))
-    has_opus = opus.isin(*dims.MT_MODELS.keys())
-    model = F.when(has_opus & (F.col("doc_id") % 2 == 0), opus).otherwise(F.lit("nllb"))
-    seg = (documents.select("doc_id", "lang", F.posexplode(tx.sentence_array("text")).alias("pos", "ref"))
-                    .withColumn("src_lang", src_lang)
-                    .withColumn("mt_model", model)
-                    .withColumn("cond_no", (F.col("doc_id") % 6 + 1).cast("int")))
-    k = F.when(F.col("mt_model") == "nllb", F.lit(11)).otherwise(F.lit(12))
-    hyp = tx.strip(_corrupt_line(F.col("ref"), F.col("doc_id"), F.col("pos"), k, F.col("cond_no")))
-    out = seg.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "src_lang",
-                     F.col("lang").alias("tgt_lang"), "mt_model", "cond_no",
-                     F.col("ref").alias("src"), "ref", hyp.alias("hyp"))
-    return spread(out, ["doc_id", "pos"])
+    d = documents.select("doc_id", "lang", "text").repartition("doc_id")
+    seg = (d.select("doc_id", F.col("lang").alias("src_lang"), F.posexplode(tx.sentence_array("text")).alias("pos", "src"))
+            .withColumn("tgt_lang", _other_language(F.col("src_lang"), F.col("doc_id"))))
+    seg = (seg.withColumn("mt_model", _mt_model(F.col("src_lang"), F.col("tgt_lang"), F.col("doc_id")))
+              .withColumn("cond_no", (F.col("doc_id") % 6 + 1).cast("int")))
+    seg = materialize(seg, ref=_translated(F.col("src")))
+    hyp = tx.strip(_corrupt_line(F.col("ref"), F.col("doc_id"), F.col("pos"), _mt_number(F.col("mt_model")), F.col("cond_no")))
+    return seg.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "src_lang", "tgt_lang", "mt_model", "cond_no", "src", "ref", hyp.alias("hyp"))
+
+
+def mt_on_asr_lists(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Translations of transcripts: recording x ASR model -> three lists of lines.
+
+    The source is the transcript itself (blank lines dropped), the reference
+    one line for each line of the recording, the hypothesis a corruption of
+    the reference; the lists may differ in length.
+
+    Columns: doc_id, src_lang, tgt_lang, asr_model, mt_model, Source_File, src_lines, ref_lines, hyp_lines.
+    """
+    o = asr_outputs(spark, documents).withColumn("tgt_lang", _other_language(F.col("lang"), F.col("doc_id")))
+    o = o.withColumn("mt_model", _mt_model(F.col("lang"), F.col("tgt_lang"), F.col("doc_id")))
+    o = materialize(o, refs=F.transform("ref_lines", _translated))
+    hyps = F.transform("refs", lambda x, p: tx.strip(_corrupt_line(x, F.col("doc_id"), p, _mt_number(F.col("mt_model")), F.col("cond_no"))))
+    return o.select("doc_id", F.col("lang").alias("src_lang"), "tgt_lang", "asr_model", "mt_model", F.col("pred_path").alias("Source_File"),
+                    F.col("pred_lines").alias("src_lines"), F.col("refs").alias("ref_lines"), hyps.alias("hyp_lines"))

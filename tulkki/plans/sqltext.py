@@ -76,3 +76,26 @@ outs AS (
   SELECT *, {pred} AS pred_lines,
          printf('data/results/asr/%s/%s_transcription.txt', asr_folder, recording) AS pred_path
   FROM outs0)"""
+
+
+#: CTEs a to e over ``pairs`` (pair_id, r, h): word alignment by a recursive dynamic programme; a cell holds
+#: 100000 x cost + hits.  e has pair_id, nr, nh, hits, subs, dels, ins.
+ALIGN_CTES = """
+a AS (SELECT pair_id, r, h, coalesce(list_position(list_transform(range(1, least(len(r), len(h)) + 1), lambda j: r[j] <> h[j]), true) - 1, least(len(r), len(h))) AS pre FROM pairs),
+b AS (SELECT pair_id, r AS r0, h AS h0, pre, list_reverse(r[pre + 1:]) AS rr, list_reverse(h[pre + 1:]) AS hr FROM a),
+c AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(rr), len(hr)) + 1), lambda j: rr[j] <> hr[j]), true) - 1, least(len(rr), len(hr))) AS suf FROM b),
+t AS MATERIALIZED (SELECT pair_id, len(r0) AS nr, len(h0) AS nh, pre + suf AS affix, list_reverse(rr[suf + 1:]) AS r, list_reverse(hr[suf + 1:]) AS h FROM c),
+dp(pair_id, i, dv) AS (
+  SELECT pair_id, 0, list_transform(range(0, len(h) + 1), lambda j: j * 100000) FROM t
+  UNION ALL
+  SELECT dp.pair_id, dp.i + 1, CASE WHEN len(t.h) = 0 THEN [(dp.i + 1) * 100000] ELSE
+   list_reduce(list_transform(range(1, len(t.h) + 1), lambda j: [j]),
+     lambda st, x: list_append(st,
+        least(dp.dv[x[1] + 1] // 100000 + 1, st[x[1]] // 100000 + 1, dp.dv[x[1]] // 100000 + (CASE WHEN t.r[dp.i + 1] = t.h[x[1]] THEN 0 ELSE 1 END)) * 100000
+        + CASE WHEN least(st[x[1]] // 100000 + 1, dp.dv[x[1]] // 100000 + (CASE WHEN t.r[dp.i + 1] = t.h[x[1]] THEN 0 ELSE 1 END)) >= dp.dv[x[1] + 1] // 100000 + 1 THEN dp.dv[x[1] + 1] % 100000
+               WHEN st[x[1]] // 100000 = dp.dv[x[1]] // 100000 - 1 THEN st[x[1]] % 100000
+               ELSE dp.dv[x[1]] % 100000 + (CASE WHEN t.r[dp.i + 1] = t.h[x[1]] THEN 1 ELSE 0 END) END),
+     [(dp.i + 1) * 100000]) END
+  FROM dp JOIN t ON t.pair_id = dp.pair_id WHERE dp.i < len(t.r)),
+f AS (SELECT t.pair_id, nr, nh, dv[len(dv)] // 100000 AS cost, dv[len(dv)] % 100000 + affix AS hits FROM dp JOIN t ON t.pair_id = dp.pair_id WHERE dp.i = len(t.r)),
+e AS (SELECT pair_id, nr, nh, hits, nr + nh - 2 * hits - cost AS subs, nr - hits - (nr + nh - 2 * hits - cost) AS dels, nh - hits - (nr + nh - 2 * hits - cost) AS ins FROM f)"""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -39,25 +36,4 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only local sessions (tests, bench) get a fresh scratch folder.
-    """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if cur:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(cur)
-        return cur
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    path = tempfile.mkdtemp(prefix="tulkki-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path

@@ -7,29 +7,53 @@ replaces only its slice.  Nothing passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tulkki.functions import text as tx
 from tulkki.schemas import RESULT
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str | None = None,
+LINES = "path string, file_name string, pos bigint, text string"
+
+
+def missing_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Reject rows (path, reject_reason) for the paths and patterns that nothing matches."""
+    gone = [(p, "missing_input") for p in paths if not _exists(spark, p)]
+    return spark.createDataFrame(gone, "path string, reject_reason string")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None,
                recursive: bool = False) -> DataFrame:
     """One row per non-blank stripped line: (path, file_name, pos, text).
 
-    Each file is read whole (``wholetext``), split on every line break and
-    positions are dense over the kept lines; files never pass the driver.
+    Lines end at CRLF, CR or LF.  Files are read in splits, so a file of any
+    size is spread over tasks: positions are counted within each split and
+    moved up by what the splits before it hold.  Paths that don't exist give
+    no row; ``missing_inputs`` lists them.
     """
-    r = spark.read.option("wholetext", True)
+    found = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], LINES)
+    r = spark.read
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     if recursive:
         r = r.option("recursiveFileLookup", True)
-    df = r.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    return (df.select("path", tx.file_name("path").alias("file_name"),
-                      F.posexplode(tx.split_lines("value")).alias("pos", "text"))
-              .withColumn("pos", F.col("pos").cast("bigint")))
+    lines = r.text(found).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                 F.monotonically_increasing_id().alias("n"), tx.strip(F.col("value")).alias("text"))
+    kept = lines.where(F.col("text") != "")
+    within = kept.withColumn("at", F.row_number().over(Window.partitionBy("path", "block").orderBy("n")) - 1)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("path", "block").agg(F.count("*").alias("lines")).select("path", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    return (within.join(starts, ["path", "block"])
+            .select("path", tx.file_name("path").alias("file_name"), (F.col("start") + F.col("at")).alias("pos"), "text"))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None,
@@ -57,19 +81,25 @@ def audio_manifest(spark: SparkSession, root: str, pattern: str = "*.wav") -> Da
     return with_condition(df, dims.conditions(spark))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """JSON record arrays or JSON lines with the declared result schema; NaN -> NULL."""
-    df = spark.read.schema(RESULT).option("multiLine", True).option("allowNonNumericNumbers", True).json(path)
+def read_results(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """JSON lines with the declared result schema (``arrays``: files that are one JSON array each); NaN -> NULL."""
+    df = spark.read.schema(RESULT).option("multiLine", arrays).option("allowNonNumericNumbers", True).json(path)
     for f in RESULT.fields:
         if f.dataType.typeName() == "double":
             df = df.withColumn(f.name, F.nanvl(F.col(f.name), F.lit(None).cast("double")))
     return df
 
 
-def write_lines(df: DataFrame, path: str, keys: list[str], pos: str = "pos", text: str = "text") -> None:
-    """One stripped text per line, in position order, one folder per key."""
-    out = (df.select(*keys, pos, tx.strip(F.col(text)).alias("value"))
-             .repartition(*keys).sortWithinPartitions(*keys, pos))
+def write_lines(df: DataFrame, path: str, keys: list[str], pos: str = "pos", text: str = "text",
+                stretch: int = 1_000_000) -> None:
+    """One stripped text per line, in position order, one folder per key.
+
+    A key's lines are cut into stretches of ``stretch`` positions, each in one
+    task, and files are named in the order of the stretches, so that a hot key
+    is written by many tasks and its files, by name, hold its lines in order.
+    """
+    out = df.select(*keys, F.floor(F.col(pos) / stretch).alias("stretch"), pos, tx.strip(F.col(text)).alias("value"))
+    out = out.repartitionByRange("stretch", *keys).sortWithinPartitions(*keys, "stretch", pos)
     out.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
@@ -88,7 +118,22 @@ def write_results(df: DataFrame, path: str, fmt: str = "json", partition_by: lis
 
 
 def append_results(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append new records (no read-and-rewrite of the old ones)."""
+    """Append new records by column name (no read-and-rewrite of the old ones).
+
+    Columns that the table has and ``df`` lacks are NULL; new columns are
+    kept, readers merge the schemas.  Where the folder holds nothing that can
+    be read as Parquet, a new table starts beside it.
+    """
+    spark = df.sparkSession
+    try:
+        old = spark.read.option("mergeSchema", True).parquet(path).schema if _exists(spark, path) else None
+    except AnalysisException:
+        old = None
+    for f in old or []:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+        elif df.schema[f.name].dataType != f.dataType:
+            df = df.withColumn(f.name, F.col(f.name).cast(f.dataType))
     w = df.write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -97,10 +142,4 @@ def append_results(df: DataFrame, path: str, partition_by: list[str] | None = No
 
 def replace_slice(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Rerun of a (language, model) slice replaces only that slice."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

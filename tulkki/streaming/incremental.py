@@ -1,10 +1,10 @@
 """Incremental ASR evaluation as a Structured Streaming job.
 
 New transcript files are picked up by the file source (its checkpoint
-remembers what was seen), joined to the prepared references (a static,
-small-per-key table: stream-static join), scored, and appended to a Parquet
-sink.  ``availableNow`` processes everything new and stops, so a rerun
-scores only files that arrived since the last run.
+remembers what was seen), joined to the prepared references (a stream-static
+left join) and scored by the plan of the batch job, rejects included.
+``availableNow`` processes everything new and stops, so a rerun scores only
+files that arrived since the last run.
 """
 
 from __future__ import annotations
@@ -13,33 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tulkki.functions import text as tx
+from tulkki.plans.evaluate import evaluate_asr
+
+
+def transcripts(files: DataFrame, key_col: str = "recording") -> DataFrame:
+    """Whole transcript files (path, value) as the input of ``evaluate_asr``; a transcript is one recording's text."""
+    base = tx.recording_base(tx.file_name("path"))
+    return files.select(base.alias(key_col), tx.parse_recording(base)["lang"].alias("lang"), tx.model_folder("path").alias("asr_model"),
+                        F.col("path").alias("pred_path"), tx.file_lines("value").alias("pred_lines"))
+
+
+def evaluate_files(spark: SparkSession, files: DataFrame, refs: DataFrame, key_col: str = "recording") -> DataFrame:
+    """E1 on whole transcript files: a record each, with ``reject_reason`` where there is no score."""
+    given = set(refs.columns)
+    refs = refs.select(key_col, "ref_text", *[c for c in ("ref_path", "n_ref_lines") if c in given])
+    if "n_ref_lines" not in given:
+        refs = refs.withColumn("n_ref_lines", (F.col("ref_text") != "").cast("int"))
+    return evaluate_asr(spark, transcripts(files, key_col), refs, (key_col,))
 
 
 def stream_evaluate(spark: SparkSession, in_dir: str, refs: DataFrame, out_dir: str,
                     checkpoint: str, key_col: str = "recording") -> None:
     """Score transcripts arriving under ``in_dir`` (``<model>/<name>_transcription.txt``).
 
-    ``refs``: key_col, ref_text (normalised).  Output rows: Model, recording,
-    Pred_File_Path, WER, WIL and the alignment counts.
+    ``refs``: key_col, ref_text (normalised; see ``prepare_references``).
+    Appends the records of ``evaluate_files`` to ``out_dir``.
     """
-    from tulkki.operators.align import align_texts
-    from tulkki.operators.metrics import wer, wil
-
     files = (spark.readStream.format("text").option("wholetext", True)
              .option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
-             .load(in_dir)
-             .withColumn("path", F.col("_metadata.file_path")))
-    pred = files.select(
-        "path",
-        tx.model_folder("path").alias("Model"),
-        tx.recording_base(tx.file_name("path")).alias(key_col),
-        tx.normalize(F.array_join(tx.split_lines("value"), " ")).alias("pred_text"))
-    j = pred.join(refs.select(key_col, "ref_text"), key_col, "inner")
-    scored = j.select("Model", key_col, F.col("path").alias("Pred_File_Path"),
-                      align_texts("ref_text", "pred_text").alias("al"))
-    out = scored.select("Model", key_col, "Pred_File_Path", wer("al").alias("WER"), wil("al").alias("WIL"),
-                        "al.hits", "al.subs", "al.dels", "al.ins")
-    q = (out.writeStream.format("parquet").option("path", out_dir)
+             .load(in_dir).select(F.col("_metadata.file_path").alias("path"), "value"))
+    q = (evaluate_files(spark, files, refs, key_col).writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
     q.awaitTermination()
