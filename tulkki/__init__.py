@@ -1,9 +1,8 @@
 """tulkki: corpus-scale speech-recognition and translation quality evaluation on Spark.
 
 Everything is DataFrame work: text normalisation and splitting are JVM
-expressions, alignment counts are an Arrow-batched pandas UDF, METEOR is a
-relational plan of explodes, windows and equi-joins, reports are partial
-aggregates.
+expressions, pairs of texts are scored in one Arrow-batched pandas UDF,
+reports are partial aggregates.
 """
 
 __version__ = "0.1.0"
