@@ -83,8 +83,6 @@ def test_long_pair_is_exact_and_whole():
 
 
 def test_spark_udf_metrics_and_m7(spark):
-    from pyspark.sql import functions as F
-
     from tulkki.operators.align import align_texts, word_distance
     from tulkki.operators.metrics import wer, wil
     rows = [(i, r, h) for i, (r, h, *_ ) in enumerate(GOLDEN)]

@@ -7,7 +7,6 @@ rounded to 6 places on both sides so the oracle compare is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
