@@ -36,7 +36,7 @@ def _pack(block_bytes: int):
     """Cut the rows of a task into blocks of about ``block_bytes`` of text."""
     def write(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
             for x in rows:
                 out.write_batch(x)
         # the block's number: where its first row comes from
@@ -57,13 +57,13 @@ def _pack(block_bytes: int):
     return task
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, pa.RecordBatch, int]]:
-    """(block, rows, the batch the block came in, its place there)."""
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows) for the parts of each block."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            with pa.ipc.open_stream(batch.column("docs")[i].as_buffer()) as stream:
+        for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+            with pa.ipc.open_stream(docs.as_buffer()) as stream:
                 for rows in stream:
-                    yield batch.column("block")[i].as_py(), rows, batch, i
+                    yield block, rows
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ class _Tally:
 def _counts(order: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
-        for _, rows, _, _ in _unpack(batches):
+        for _, rows in _unpack(batches):
             rows = rows.filter(rows.column("learn"))
             lang = rows.column("lang_key").to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in pieces(rows.column("text")):
@@ -126,7 +126,7 @@ def _asked(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(np.full(len(key), lang)), pa.array(key)],
                                                  names=["block", "lang_key", "key"])
         block, tally = None, _Tally()
-        for now, rows, _, _ in _unpack(batches):
+        for now, rows in _unpack(batches):
             if now != block:
                 if block is not None:
                     yield from flush()
@@ -141,33 +141,41 @@ def _asked(order: int):
 
 
 def _score(order: int):
+    """Rows come sorted by block, a block's answers before its documents."""
+    def scored(rows: pa.RecordBatch, table: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        lang = rows.column("lang_key").to_numpy(zero_copy_only=False)
+        sums, size = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+        for lo, hi, data, offsets in pieces(rows.column("text")):
+            key, row = grams(data, offsets, order)
+            size[lo:hi] = np.diff(offsets)
+            of = lang[lo + row]
+            log = np.zeros(len(key))
+            for one in np.unique(of):
+                known, values = table[int(one)]
+                mine = of == one
+                log[mine] = values[np.searchsorted(known, key[mine])]
+            sums[lo:hi] = np.bincount(row, weights=log, minlength=hi - lo)
+        perplexity = pa.array(np.exp(-sums / np.maximum(size, 1)), mask=size == 0)
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "lang", "lang_key", "trusted", "learn")), perplexity],
+                                          names=["doc_id", "lang", "lang_key", "trusted", "learn", "perplexity"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        for block, rows, batch, i in _unpack(batches):
-            if block != at:
-                at, answers = block, batch.column("answers")[i].values
-                langs, keys, logs = (x.to_numpy(zero_copy_only=False) for x in answers.flatten())
-                table = {}
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            done = 0
+            for at in np.flatnonzero(batch.column("docs").is_valid().to_numpy(zero_copy_only=False)):
+                held.append(batch.slice(done, at - done).select(["lang_key", "key", "log"]))
+                done = at + 1
+                langs, keys, logs = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("lang_key", "key", "log"))
+                held, table = [], {}
                 for one in np.unique(langs):
                     mine = np.flatnonzero(langs == one)
                     mine = mine[np.argsort(keys[mine])]
                     table[int(one)] = keys[mine], logs[mine]
-            lang = rows.column("lang_key").to_numpy(zero_copy_only=False)
-            sums = np.zeros(rows.num_rows)
-            size = np.zeros(rows.num_rows, np.int64)
-            for lo, hi, data, offsets in pieces(rows.column("text")):
-                key, row = grams(data, offsets, order)
-                size[lo:hi] = np.diff(offsets)
-                of = lang[lo + row]
-                log = np.zeros(len(key))
-                for one in np.unique(of):
-                    known, values = table[int(one)]
-                    mine = of == one
-                    log[mine] = values[np.searchsorted(known, key[mine])]
-                sums[lo:hi] = np.bincount(row, weights=log, minlength=hi - lo)
-            perplexity = pa.array(np.exp(-sums / np.maximum(size, 1)), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("row", "doc_id", "lang", "lang_key", "trusted", "learn")), perplexity],
-                                             names=["row", "doc_id", "lang", "lang_key", "trusted", "learn", "perplexity"])
+                with pa.ipc.open_stream(batch.column("docs")[int(at)].as_buffer()) as stream:
+                    for rows in stream:
+                        yield scored(rows, table)
+            held.append(batch.slice(done).select(["lang_key", "key", "log"]))
     return task
 
 
@@ -193,7 +201,8 @@ def _kneser_ney(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
         discounts = table.groupBy("lang_key").agg(*n).select("lang_key", *d)
         cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = F.shiftright("key", 8)
-        rows = table.join(discounts, "lang_key").select("lang_key", "key", "c", cut.alias("d"))
+        # one row for each language
+        rows = table.join(broadcast_if_few(discounts), "lang_key").select("lang_key", "key", "c", cut.alias("d"))
         contexts = rows.groupBy("lang_key", context.alias("context")).agg(F.sum("c").alias("s"), F.sum("d").alias("left"))
         wanted = asked.select("lang_key", F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).distinct()
         found = (wanted.withColumn("context", context).join(rows, ["lang_key", "key"], "left").join(contexts, ["lang_key", "context"], "left"))
@@ -236,12 +245,12 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
     counts = materialise(counts, "counts")
     asked = materialise(blocks.mapInArrow(_asked(order), "block long, lang_key long, key long"), "asked")
     logs = _kneser_ney(counts, asked, order)
-    answers = (asked.join(logs, ["lang_key", "key"]).groupBy("block")
-               .agg(F.collect_list(F.struct("lang_key", "key", "log")).alias("answers")))
-    # a block without any byte asks for nothing
-    nothing = F.array().cast("array<struct<lang_key: bigint, key: bigint, log: double>>")
-    scored = (blocks.join(answers, "block", "left").withColumn("answers", F.coalesce("answers", nothing))
-              .mapInArrow(_score(order), "row long, doc_id long, lang string, lang_key long, trusted boolean, learn boolean, perplexity double"))
+    none = F.lit(None)
+    answers = (asked.join(broadcast_if_few(logs), ["lang_key", "key"])
+               .select("block", "lang_key", "key", F.col("log").cast("float").alias("log"), none.cast("binary").alias("docs")))
+    waiting = blocks.select("block", none.cast("long").alias("lang_key"), none.cast("long").alias("key"), none.cast("float").alias("log"), "docs")
+    scored = (answers.unionByName(waiting).repartition("block").sortWithinPartitions("block", F.col("docs").isNotNull())
+              .mapInArrow(_score(order), "doc_id long, lang string, lang_key long, trusted boolean, learn boolean, perplexity double"))
     scored = materialise(scored, "scored")
     # languages with a model
     limits = (scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang_key")
