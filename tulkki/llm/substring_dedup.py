@@ -181,3 +181,17 @@ def substring_dedup(docs: DataFrame, k: int = 50, m: int = 16) -> DataFrame:
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs).drop("kept_text")
+
+
+OP1_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM w, unnest(range(1, len(ws) - 48)) u(i)),
+firsts AS (SELECT k, min(doc_id) AS lo FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM windows JOIN firsts USING (k), range(50) r(d) WHERE doc_id > lo),
+words AS (SELECT doc_id, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) u(i)),
+kept AS (
+  SELECT doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
