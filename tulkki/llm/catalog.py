@@ -7,9 +7,9 @@ from tulkki.llm.language_id import op3_language_id
 from tulkki.llm.licenses import op7_licenses
 from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tulkki.llm.mixing import op4_mix_sources
-from tulkki.llm.ngram_jaccard import op5_ngram_jaccard
+from tulkki.llm.ngram_jaccard import OP5_SQL, op5_ngram_jaccard
 from tulkki.llm.quality import op8_quality
-from tulkki.llm.substring_dedup import op1_substring_dedup
+from tulkki.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from tulkki.llm.topk import OP2_SQL, op2_topk
 from tulkki.llm.warc import OP10_SQL, op10_warc
 
@@ -27,7 +27,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_topk": OP2_SQL,
+    "op5_ngram_jaccard": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
