@@ -80,6 +80,18 @@ def test_contaminated_documents_are_found(spark, make_docs, words):
     assert contaminated(make_docs(rows).where("doc_id < 0"), benchmark(spark)).collect() == []
 
 
+def test_items_of_slots_and_short_items_are_found(spark, make_docs, words):
+    items = ["What is 12 + 30 + 45?", "Compute 12 + 7 - 3 + 45 - 6 + 8 - 9.", "小明有三个苹果，他又买了两个，现在一共有几个苹果？",
+             "Sort the scores Ann 3, Bob 7, Eve 9, Tom 4, Kim 8, Joe 6 from low to high.", "Janet eats 16 eggs every day"]
+    rng = random.Random(2)
+    rows = [(i, f"{words(rng, 40)} {item} {words(rng, 40)}") for i, item in enumerate(items)]
+    rows += [(5, "What is 13 + 30 + 45?"), (6, "Compute 12 + 7 - 3 + 45 - 6 + 8 - 8."), (7, "Sort the scores Jim 1, Bob 2, Sue 3, Tom 5, Max 8, Joe 9 from low to high."),
+             (8, "Every morning Paul eats 4 eggs every day"), (9, "so it is. Paul eats 4 eggs every day"), (10, "Janet drinks 16 eggs every day"), (11, "小明有三个苹果")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(make_docs(rows), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 3), (8, 4), (9, 4)}
+
+
 def test_contamination_is_that_of_verbatim_items(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     flat = lambda t: " " + " ".join((t or "").split()) + " "

@@ -4,15 +4,14 @@ Numbers, units after numbers, and names (capitalised words inside a sentence)
 are replaced by typed placeholders, the rest is lower-cased without
 punctuation.  Windows of the resulting template are hash-joined with those of
 the benchmark, so that a question comes out even with other numbers or names.
-A match counts where its windows line up along one offset and the slots are
-consistent: within the match, one benchmark value stands for one document
-value and the other way round.
+Windows that are mostly slots are hashed with their values.  A match counts
+where its windows line up along one offset and the slots are consistent:
+within the match, one benchmark value stands for one document value and the
+other way round.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +24,32 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles met
          "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
          "mph kph percent degrees dollar dollars cent cents euro euros pence usd eur gbp").split()
 
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+# OPENING: a capitalised word that may be a name, as one that opens a sentence; it is a literal but where an item begins.
+NUMBER, NAME, UNIT, OPENING = "\x01", "\x02", "\x03", "\x04"
 MARKS = f"{NUMBER}-{UNIT}"
+# Scripts written without spaces: each character is a word.
+UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
 UNIT_AFTER = rf"(?<=\d[ \t])(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
 NUMBERS = r"(?<![\p{L}\p{N}])[$€£]?\d[\d.,]*%?"
 NAMES = r"(?<=[\p{L}\p{N},;)][ \t])\p{Lu}[\p{Ll}']+(?![\p{L}\p{N}])"
+OPENINGS = rf"(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}[\p{{Ll}}']+(?![\p{{L}}\p{{N}}])"
 
 
-def marked(text: Column) -> Column:
-    """The words of a text, those in slots led by the mark of their type."""
-    text = F.regexp_replace(text, f"[{MARKS}]", " ")
-    for pattern, mark in ((UNIT_AFTER, UNIT), (NAMES, NAME), (NUMBERS, NUMBER)):
+def typed(text: Column) -> Column:
+    """The words of a text, those in slots and openings led by the mark of their type."""
+    text = F.regexp_replace(text, f"[{NUMBER}-{OPENING}]", " ")
+    text = F.regexp_replace(text, UNSPACED, " $0 ")
+    for pattern, mark in ((UNIT_AFTER, UNIT), (NAMES, NAME), (NUMBERS, NUMBER), (OPENINGS, OPENING)):
         text = F.regexp_replace(text, pattern, f"{mark}$0")
-    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}\s{MARKS}]+", "")
+    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{OPENING}]+", "")
     return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
+def marked(text: Column) -> Column:
+    """The words of a text, those in slots led by the mark of their type."""
+    return F.translate(typed(text), OPENING, "")
+
+
 def template(text: Column) -> Column:
     """Words with every slot's value dropped."""
     return F.regexp_replace(marked(text), rf"([{MARKS}])\S+", "$1")
@@ -50,25 +59,70 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def windows(hashes: Column, n: Column | int) -> Column:
-    """Hash of every ``n`` consecutive values."""
-    each = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))
-    return let(hashes, lambda h: F.when(F.size(h) >= n, each(h)))
+def is_slot(w: Column) -> Column:
+    return w < OPENING
+
+
+def plain(w: Column) -> Column:
+    """A typed word without its mark as a name or an opening."""
+    return F.ltrim(w, F.lit(NAME + OPENING))
+
+
+def symbol(w: Column) -> Column:
+    """A typed word without its slot's value."""
+    return F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(plain(w))
+
+
+def windows(w: Column, n: Column | int) -> Column:
+    """(at, hash) of every ``n`` consecutive typed words, in an array: that of
+    their symbols; where more than half are slots, that of their values as
+    well; where the first is an opening, also that with it as a name."""
+    hashes = lambda of: F.transform(w, lambda x: F.xxhash64(of(x)))
+    at = F.sequence(F.lit(1), F.size(w) - n + 1)
+    row = lambda i, h: F.struct((i - 1).alias("at"), h.alias("hash"))
+    none = F.array().cast("array<struct<at: int, hash: bigint>>")
+    slots = F.transform(w, is_slot)
+    heavy = lambda f: F.filter(at, lambda i: F.size(F.array_remove(F.slice(f, i, n), False)) * 2 > n)
+    opening = F.filter(at, lambda i: F.get(w, i - 1).startswith(OPENING))
+    named = F.xxhash64(F.lit(NAME))
+
+    def each(h: Column) -> Column:
+        by_symbol = F.transform(at, lambda i: row(i, F.xxhash64(F.slice(h, i, n))))
+        by_value = let(slots, lambda f: F.when(
+            F.size(F.array_remove(f, False)) * 2 > n,
+            let(hashes(plain), lambda v: F.transform(heavy(f), lambda i: row(i, F.xxhash64(F.slice(v, i, n)))))).otherwise(none))
+        as_name = F.transform(opening, lambda i: row(i, F.xxhash64(F.concat(F.array(named), F.slice(h, i + 1, n - 1)))))
+        return F.concat(by_symbol, by_value, as_name)
+    return F.when(F.size(w) >= n, let(hashes(symbol), each)).otherwise(none)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, least_words: int) -> DataFrame:
-    """(item_id, hash, place, length, total): all windows of each item; an item
-    shorter than a window is one window of its own length.  Windows of which
-    less than half the words are literal say too little and are left out."""
+    """(item_id, item, hash, place, length, total, telling): all windows of
+    each item; an item shorter than a window is one window of its own length.
+    Windows of which less than half the words are literal say too little and
+    are hashed with the values of their slots; ``telling`` is the number of the
+    others, ``item`` a hash of item_id and text."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    items = items.withColumn("w", words(template(F.col("text")))).withColumn("n", F.size("w")).where(F.col("n") >= least_words)
+    items = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(typed(F.col("text"))).alias("w"))
+    items = items.withColumn("n", F.size("w")).where(F.col("n") >= least_words)
     items = items.withColumn("length", F.least("n", F.lit(window)))
-    places = items.select("item_id", "length", (F.col("n") - F.col("length") + 1).alias("total"), "w",
+    places = items.select("item_id", "item", "length", (F.col("n") - F.col("length") + 1).alias("total"), "w",
                           F.explode(F.sequence(F.lit(0), F.col("n") - F.col("length"))).alias("place"))
     part = F.slice("w", F.col("place") + 1, F.col("length"))
-    literal = F.size(F.filter(part, lambda x: x > "\x04"))
-    return (places.where(literal * 2 >= F.col("length"))
-            .select("item_id", F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("hash"), "place", "length", "total"))
+    # an item's first word is an opening, too, where it is capitalised: a literal or a name
+    first = (F.col("place") == 0) & F.get("w", 0).startswith(OPENING)
+    places = (places.withColumn("telling", (F.size(F.filter(part, is_slot)) * 2 <= F.col("length")).cast("int"))
+              .withColumn("telling_as_name", first & (F.size(F.filter(part, is_slot)) * 2 + 2 <= F.col("length")))
+              .withColumn("by_symbol", F.transform(part, lambda x: F.xxhash64(symbol(x))))
+              .withColumn("by_value", F.transform(part, lambda x: F.xxhash64(plain(x)))))
+    telling = F.col("telling") == 1
+    as_name = F.concat(F.array(F.xxhash64(F.lit(NAME))), F.slice("by_symbol", 2, F.col("length") - 1))
+    hashes = F.filter(F.array(F.when(telling, F.xxhash64("by_symbol")),
+                              F.when(~telling | (first & ~F.col("telling_as_name")), F.xxhash64("by_value")),
+                              F.when(F.col("telling_as_name"), F.xxhash64(as_name))), lambda h: h.isNotNull())
+    counts = places.groupBy("item").agg(F.sum("telling").alias("telling"))
+    return (places.select("item_id", "item", F.explode(F.array_distinct(hashes)).alias("hash"), "place", "length", "total")
+            .join(counts, "item"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough: int = 6, least_words: int = 5) -> DataFrame:
@@ -76,9 +130,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
     matched_windows, item_windows, slots).
 
     A document matches an item where, at one offset, ``enough`` windows of the
-    item's template (if it has no more, all but one: its first word may look
-    like a name within a sentence) are found in the document's and the slots
-    in that stretch are consistent.  One row for each document and item,
+    item's template (if it has no more, all but one) are found in the
+    document's and the slots in that stretch are consistent.  Candidates have
+    that share of the windows that aren't mostly slots, or one with the same
+    values.  An item's first word may be a name in the document.  A character
+    of a script without spaces is a word.  One row for each document and item,
     the best offset; ``tag`` is a hash of doc_id and text.  Null and empty
     texts match nothing, items under ``least_words`` words are too short to
     tell and match nothing, null ids are kept as ids.  Repeated rows of
@@ -90,23 +146,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tag")).where("text IS NOT NULL")
     if not lengths:
         lengths = [window]
-    hashed = docs.select("doc_id", "tag", F.transform(words(template(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
-    each = [hashed.select("doc_id", "tag", F.posexplode(windows(F.col("h"), n)).alias("at", "hash"), F.lit(n).alias("length")) for n in lengths]
-    found = reduce(DataFrame.unionByName, each).join(broadcast_if_few(index), ["hash", "length"])
-    aligned = (found.groupBy("doc_id", "tag", "item_id", "total", "length", (F.col("at") - F.col("place")).alias("offset"))
-               .agg(F.countDistinct("place").alias("matched"), F.min("place").alias("first"), F.max("place").alias("last"))
-               .where(F.col("matched") >= F.least(F.greatest(F.lit(1), F.col("total") - 1), F.lit(enough))))
+    needed = lambda n: F.least(F.greatest(F.lit(1), F.col(n) - 1), F.lit(enough))
+    found = docs.select("doc_id", "tag", words(typed(F.col("text"))).alias("w"))
+    of_length = lambda w: F.array(*[F.struct(F.lit(n).alias("length"), windows(w, n).alias("at")) for n in lengths])
+    found = found.select("doc_id", "tag", F.explode(let(F.col("w"), of_length)).alias("of"))
+    found = found.select("doc_id", "tag", "of.length", F.inline("of.at")).join(broadcast_if_few(index), ["hash", "length"])
+    aligned = (found.groupBy("doc_id", "tag", "item_id", "item", "total", "telling", "length", (F.col("at") - F.col("place")).alias("offset"))
+               .agg(F.countDistinct("place").alias("anchors")).where(F.col("anchors") >= needed("telling")))
     aligned = materialise(aligned, "aligned")
 
     # the words of either side, with the values of their slots, only where something matched
-    theirs = (benchmark.select("item_id", words(marked(F.col("text"))).alias("b")).distinct()
-              .withColumnRenamed("item_id", "i"))
+    theirs = (benchmark.select(F.xxhash64("item_id", F.coalesce("text", F.lit(""))).alias("i"), words(typed(F.col("text"))).alias("b"))
+              .dropDuplicates(["i"]))
     ours = (docs.join(broadcast_if_few(aligned.select(F.col("tag").alias("t")).distinct()), F.col("tag") == F.col("t"))
-            .select(F.col("tag").alias("t"), words(marked(F.col("text"))).alias("d")).dropDuplicates(["t"]))
-    both = (aligned.join(ours, F.col("tag") == F.col("t")).join(theirs, F.col("item_id").eqNullSafe(F.col("i"))))
-    span = F.sequence("first", F.col("last") + F.col("length") - 1)
-    pairs = F.transform(span, lambda j: F.struct(F.get("b", j).alias("b"), F.get("d", j + F.col("offset")).alias("d")))
-    slots = F.array_distinct(F.filter(pairs, lambda p: (p["b"] < "\x04") & (F.substring(p["b"], 1, 1) == F.substring(p["d"], 1, 1))))
+            .select(F.col("tag").alias("t"), words(typed(F.col("text"))).alias("d")).dropDuplicates(["t"]))
+    both = aligned.join(ours, F.col("tag") == F.col("t")).join(theirs, F.col("item") == F.col("i"))
+    marks = F.transform("b", lambda b, j: F.struct(b.alias("b"), F.get("d", j + F.col("offset")).alias("d"), (j == 0).alias("first")))
+    both = both.withColumn("pairs", marks).drop("b", "d")
+    named = lambda p: p["first"] & p["b"].startswith(OPENING) & p["d"].rlike(f"^[{NAME}{OPENING}]") & (plain(p["b"]) != plain(p["d"]))
+    equal = lambda p: F.coalesce((symbol(p["b"]) == symbol(p["d"])) | named(p), F.lit(False))
+    place = F.sequence(F.lit(0), F.col("total") - 1)
+    whole = lambda e: F.filter(place, lambda j: ~F.array_contains(F.slice(e, j + 1, F.col("length")), False))
+    both = both.withColumn("places", let(F.transform("pairs", equal), whole)).withColumn("matched", F.size("places"))
+    both = both.where(F.col("matched") >= needed("total"))
+    span = F.slice("pairs", F.array_min("places") + 1, F.array_max("places") - F.array_min("places") + F.col("length"))
+    slot = lambda p: (is_slot(p["b"]) & (F.substring(p["b"], 1, 1) == F.substring(p["d"], 1, 1))) | named(p)
+    slots = F.array_distinct(F.transform(F.filter(span, slot), lambda p: F.struct(plain(p["b"]).alias("b"), plain(p["d"]).alias("d"))))
     consistent = ((F.size(F.array_distinct(F.transform("slots", lambda p: p["b"]))) == F.size("slots"))
                   & (F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))) == F.size("slots")))
     held = both.withColumn("slots", slots).where(consistent)
