@@ -92,6 +92,17 @@ def test_items_of_slots_and_short_items_are_found(spark, make_docs, words):
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 3), (8, 4), (9, 4)}
 
 
+def test_copies_in_other_case_or_spacing_are_found(spark, make_docs, words):
+    item = "Yesterday morning Carol bought 40 red apples and then Alice ate 12 of them, 5 kg, before lunch with Bob"
+    copies = [item, item.lower(), item.upper(), item.title(), item.replace(" Alice", "\nAlice").replace(" kg", "\n kg"), item.replace(" ", "  "),
+              "\n".join(item.split()), item.replace(" ", "\u00a0"), item.lower().replace("40", "41")]
+    wrong = item.lower().replace("carol", "dora").replace("apples", "pears").replace("ate", "sold")
+    rng = random.Random(4)
+    rows = [(i, f"{words(rng, 40)} {text} {words(rng, 40)}") for i, text in enumerate([*copies, wrong])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in contaminated(make_docs(rows), bench).collect()} == set(range(len(copies)))
+
+
 def test_contamination_is_that_of_verbatim_items(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     flat = lambda t: " " + " ".join((t or "").split()) + " "

@@ -4,10 +4,11 @@ Numbers, units after numbers, and names (capitalised words inside a sentence)
 are replaced by typed placeholders, the rest is lower-cased without
 punctuation.  Windows of the resulting template are hash-joined with those of
 the benchmark, so that a question comes out even with other numbers or names.
-Windows that are mostly slots are hashed with their values.  A match counts
-where its windows line up along one offset and the slots are consistent:
-within the match, one benchmark value stands for one document value and the
-other way round.
+Windows that are mostly slots are hashed with their values.  A second template
+leaves names as lower-cased literals, so that a copy in other case comes out.
+A match counts where its windows line up along one offset and the slots are
+consistent: within the match, one benchmark value stands for one document
+value and the other way round.
 """
 
 from __future__ import annotations
@@ -29,16 +30,18 @@ NUMBER, NAME, UNIT, OPENING = "\x01", "\x02", "\x03", "\x04"
 MARKS = f"{NUMBER}-{UNIT}"
 # Scripts written without spaces: each character is a word.
 UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
-UNIT_AFTER = rf"(?<=\d[ \t])(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
+# White space, but for a single space.
+GAPS = r"[\s\x85\p{Z}]{2,}|[\s\x85\p{Z}&&[^ ]]"
+UNIT_AFTER = rf"(?i)(?<=\d )(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
 NUMBERS = r"(?<![\p{L}\p{N}])[$€£]?\d[\d.,]*%?"
-NAMES = r"(?<=[\p{L}\p{N},;)][ \t])\p{Lu}[\p{Ll}']+(?![\p{L}\p{N}])"
+NAMES = r"(?<=[\p{L}\p{N},;)] )\p{Lu}[\p{Ll}']+(?![\p{L}\p{N}])"
 OPENINGS = rf"(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}[\p{{Ll}}']+(?![\p{{L}}\p{{N}}])"
 
 
 def typed(text: Column) -> Column:
     """The words of a text, those in slots and openings led by the mark of their type."""
     text = F.regexp_replace(text, f"[{NUMBER}-{OPENING}]", " ")
-    text = F.regexp_replace(text, UNSPACED, " $0 ")
+    text = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $0 "), GAPS, " ")
     for pattern, mark in ((UNIT_AFTER, UNIT), (NAMES, NAME), (NUMBERS, NUMBER), (OPENINGS, OPENING)):
         text = F.regexp_replace(text, pattern, f"{mark}$0")
     text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{OPENING}]+", "")
@@ -73,10 +76,20 @@ def symbol(w: Column) -> Column:
     return F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(plain(w))
 
 
+def is_name(w: Column) -> Column:
+    return w.startswith(NAME)
+
+
+def caseless(w: Column) -> Column:
+    """A typed word without its slot's value, but names are literals."""
+    return F.when(is_slot(w) & ~is_name(w), F.substring(w, 1, 1)).otherwise(plain(w))
+
+
 def windows(w: Column, n: Column | int) -> Column:
     """(at, hash) of every ``n`` consecutive typed words, in an array: that of
-    their symbols; where more than half are slots, that of their values as
-    well; where the first is an opening, also that with it as a name."""
+    their symbols; where one is a name, that with names as literals as well; where
+    more than half are slots, that of their values; where the first is an
+    opening, also that with it as a name."""
     hashes = lambda of: F.transform(w, lambda x: F.xxhash64(of(x)))
     at = F.sequence(F.lit(1), F.size(w) - n + 1)
     row = lambda i, h: F.struct((i - 1).alias("at"), h.alias("hash"))
@@ -91,8 +104,12 @@ def windows(w: Column, n: Column | int) -> Column:
         by_value = let(slots, lambda f: F.when(
             F.size(F.array_remove(f, False)) * 2 > n,
             let(hashes(plain), lambda v: F.transform(heavy(f), lambda i: row(i, F.xxhash64(F.slice(v, i, n)))))).otherwise(none))
+        in_lower = let(F.transform(w, is_name), lambda f: F.when(
+            F.array_contains(f, True),
+            let(hashes(caseless), lambda v: F.transform(F.filter(at, lambda i: F.array_contains(F.slice(f, i, n), True)),
+                                                        lambda i: row(i, F.xxhash64(F.slice(v, i, n)))))).otherwise(none))
         as_name = F.transform(opening, lambda i: row(i, F.xxhash64(F.concat(F.array(named), F.slice(h, i + 1, n - 1)))))
-        return F.concat(by_symbol, by_value, as_name)
+        return F.concat(by_symbol, in_lower, by_value, as_name)
     return F.when(F.size(w) >= n, let(hashes(symbol), each)).otherwise(none)
 
 
@@ -114,10 +131,13 @@ def benchmark_windows(benchmark: DataFrame, window: int, least_words: int) -> Da
     places = (places.withColumn("telling", (F.size(F.filter(part, is_slot)) * 2 <= F.col("length")).cast("int"))
               .withColumn("telling_as_name", first & (F.size(F.filter(part, is_slot)) * 2 + 2 <= F.col("length")))
               .withColumn("by_symbol", F.transform(part, lambda x: F.xxhash64(symbol(x))))
+              .withColumn("in_lower", F.transform(part, lambda x: F.xxhash64(caseless(x))))
+              .withColumn("literals", F.size(F.filter(part, lambda x: ~is_slot(x) | is_name(x))))
               .withColumn("by_value", F.transform(part, lambda x: F.xxhash64(plain(x)))))
     telling = F.col("telling") == 1
     as_name = F.concat(F.array(F.xxhash64(F.lit(NAME))), F.slice("by_symbol", 2, F.col("length") - 1))
     hashes = F.filter(F.array(F.when(telling, F.xxhash64("by_symbol")),
+                              F.when(F.col("literals") * 2 >= F.col("length"), F.xxhash64("in_lower")),
                               F.when(~telling | (first & ~F.col("telling_as_name")), F.xxhash64("by_value")),
                               F.when(F.col("telling_as_name"), F.xxhash64(as_name))), lambda h: h.isNotNull())
     counts = places.groupBy("item").agg(F.sum("telling").alias("telling"))
@@ -131,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
 
     A document matches an item where, at one offset, ``enough`` windows of the
     item's template (if it has no more, all but one) are found in the
-    document's and the slots in that stretch are consistent.  Candidates have
+    document's and the slots in that stretch are consistent, by the template
+    with slots for names or by that with names as lower-cased literals.  Candidates have
     that share of the windows that aren't mostly slots, or one with the same
     values.  An item's first word may be a name in the document.  A character
     of a script without spaces is a word.  One row for each document and item,
@@ -164,17 +185,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
     marks = F.transform("b", lambda b, j: F.struct(b.alias("b"), F.get("d", j + F.col("offset")).alias("d"), (j == 0).alias("first")))
     both = both.withColumn("pairs", marks).drop("b", "d")
     named = lambda p: p["first"] & p["b"].startswith(OPENING) & p["d"].rlike(f"^[{NAME}{OPENING}]") & (plain(p["b"]) != plain(p["d"]))
-    equal = lambda p: F.coalesce((symbol(p["b"]) == symbol(p["d"])) | named(p), F.lit(False))
+    same = lambda p: F.substring(p["b"], 1, 1) == F.substring(p["d"], 1, 1)
+    # either template: which pairs of words are equal, and which of them are slots
+    ways = ((lambda p: (symbol(p["b"]) == symbol(p["d"])) | named(p), lambda p: (is_slot(p["b"]) & same(p)) | named(p)),
+            (lambda p: caseless(p["b"]) == caseless(p["d"]), lambda p: is_slot(p["b"]) & ~is_name(p["b"]) & same(p)))
     place = F.sequence(F.lit(0), F.col("total") - 1)
     whole = lambda e: F.filter(place, lambda j: ~F.array_contains(F.slice(e, j + 1, F.col("length")), False))
-    both = both.withColumn("places", let(F.transform("pairs", equal), whole)).withColumn("matched", F.size("places"))
-    both = both.where(F.col("matched") >= needed("total"))
-    span = F.slice("pairs", F.array_min("places") + 1, F.array_max("places") - F.array_min("places") + F.col("length"))
-    slot = lambda p: (is_slot(p["b"]) & (F.substring(p["b"], 1, 1) == F.substring(p["d"], 1, 1))) | named(p)
-    slots = F.array_distinct(F.transform(F.filter(span, slot), lambda p: F.struct(plain(p["b"]).alias("b"), plain(p["d"]).alias("d"))))
-    consistent = ((F.size(F.array_distinct(F.transform("slots", lambda p: p["b"]))) == F.size("slots"))
-                  & (F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))) == F.size("slots")))
-    held = both.withColumn("slots", slots).where(consistent)
+
+    def matching(equal, slot) -> DataFrame:
+        places = let(F.transform("pairs", lambda p: F.coalesce(equal(p), F.lit(False))), whole)
+        way = both.withColumn("places", places).withColumn("matched", F.size("places")).where(F.col("matched") >= needed("total"))
+        span = F.slice("pairs", F.array_min("places") + 1, F.array_max("places") - F.array_min("places") + F.col("length"))
+        slots = F.array_distinct(F.transform(F.filter(span, slot), lambda p: F.struct(plain(p["b"]).alias("b"), plain(p["d"]).alias("d"))))
+        consistent = ((F.size(F.array_distinct(F.transform("slots", lambda p: p["b"]))) == F.size("slots"))
+                      & (F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))) == F.size("slots")))
+        return way.withColumn("slots", slots).where(consistent)
+    held = matching(*ways[0]).unionByName(matching(*ways[1]))
     best = F.max(F.struct(F.col("matched").alias("matched_windows"), F.col("total").alias("item_windows"), F.size("slots").alias("slots"))).alias("best")
     return held.groupBy("doc_id", "tag", "item_id").agg(best).select("doc_id", "tag", "item_id", "best.*")
 
