@@ -195,6 +195,18 @@ def test_quality_separates_labelled_documents(spark):
     assert kept[1] > 0.97 and kept[0] < 0.2
 
 
+def test_threshold_is_the_quantile_of_held_out_trusted_documents(spark, make_docs, words):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 40)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = make_docs(rows)
+    fold = {r.doc_id for r in docs.where(held_out_fold()).collect()}
+    got = quality(docs, labels, order=2, quantile=0.5).collect()
+    unseen = sorted(r.perplexity for r in got if r.doc_id in fold)
+    assert len(unseen) > 10 and {r.threshold for r in got} <= set(unseen)
+    assert sum(x <= got[0].threshold for x in unseen) == pytest.approx(len(unseen) / 2, abs=1)
+
+
 def test_grams_begin_after_zeros():
     texts = [b"abc", b"", b"xy"]
     key, row = grams(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 3)

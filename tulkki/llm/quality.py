@@ -216,15 +216,15 @@ def _kneser_ney(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
     return lower.select("lang_key", "key", F.log("p").alias("log"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25,
+def quality(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99,
             block_bytes: int = 32 << 20) -> DataFrame:
     """Perplexity of every document and whether to keep it.
 
     One row per input row: doc_id, lang, perplexity (for a byte), threshold,
     keep.  Trusted are the documents all of whose ``labels`` have quality 1
     and not toxic 1; the model learns from those outside the held-out fold, the
-    threshold of a language is ``slack`` times the ``quantile`` of those in
-    it (of all trusted ones, where the fold has none).  Null and empty texts
+    threshold of a language is the ``quantile`` of those in it (of all
+    trusted ones, where the fold has none).  Null and empty texts
     have no perplexity and are not kept.  Documents of a language without
     trusted text (a null lang is a language too) have no threshold and are
     kept.  Repeated rows get a row each; null doc_ids are never trusted.
@@ -257,7 +257,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
               .agg(F.percentile_approx(F.when(~F.col("learn"), F.col("perplexity")), quantile, 10000).alias("unseen"),
                    F.percentile_approx("perplexity", quantile, 10000).alias("every"),
                    F.count_if("learn").alias("learned")).where("learned > 0")
-              .select("lang_key", (F.coalesce("unseen", "every") * slack).alias("threshold")))
+              .select("lang_key", F.coalesce("unseen", "every").alias("threshold")))
     keep = F.when(F.col("perplexity").isNull(), False).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return scored.join(broadcast_if_few(limits), "lang_key", "left").select("doc_id", "lang", "perplexity", "threshold", keep.alias("keep"))
 
