@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tulkki.llm.decontaminate import op6_decontamination
+from tulkki.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from tulkki.llm.language_id import op3_language_id
 from tulkki.llm.licenses import op7_licenses
 from tulkki.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op5_ngram_jaccard": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
