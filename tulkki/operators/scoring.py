@@ -23,24 +23,26 @@ SCORES = ["hits", "subs", "dels", "ins", "ref_len", "hyp_len", "matches", "chunk
 SCORE_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in SCORES])
 
 
-def meteor_counts(ref: list[str], hyp: list[str], stems: bool = False, synonyms: dict[str, list[str]] | None = None) -> tuple[int, int]:
+def meteor_counts(ref: list[str], hyp: list[str], stems: bool | dict[str, str] = False, synonyms: dict[str, list[str]] | None = None) -> tuple[int, int]:
     """(matches, chunks) of METEOR's stages: equal words, equal stems, synonyms.
 
     In each stage hypothesis words, the last first, take the last reference
     word that is left and fits; later stages see what is left over.
-    ``synonyms`` lists, for a hypothesis word, the words that it may stand for.
+    ``stems`` may give the stems of the words that need one; ``synonyms``
+    lists, for a hypothesis word, the words that it may stand for.
     """
+    root = (lambda w: stems.get(w, w)) if isinstance(stems, dict) else stem
     pairs: dict[int, int] = {}
     left_ref, left_hyp = list(range(len(ref))), list(range(len(hyp)))
     stages = [lambda w: [w]]
     if stems:
-        stages.append(lambda w: [stem(w)])
+        stages.append(lambda w: [root(w)])
     if synonyms:
         stages.append(lambda w: synonyms.get(w, []))
     for number, keys in enumerate(stages):
         places = defaultdict(list)
         for r in left_ref:
-            places[stem(ref[r]) if stems and number == 1 else ref[r]].append(r)
+            places[root(ref[r]) if stems and number == 1 else ref[r]].append(r)
         taken = set()
         for h in reversed(left_hyp):
             best = max((places[k] for k in keys(hyp[h]) if places.get(k)), key=lambda p: p[-1], default=None)
