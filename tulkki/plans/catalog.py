@@ -709,6 +709,19 @@ def b1_batch_map(spark, d):
         .select("doc_id", "pos", "prediction", "prediction_error")
 
 
+@register("b1_length_buckets", f"""
+WITH l AS (SELECT doc_id, {q.split_lines('text')} AS ls FROM documents)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, array_to_string(list_reverse(string_split(ls[i], ' ')), ' ') AS prediction,
+       NULL AS prediction_error
+FROM l, unnest(range(1, len(ls) + 1)) u(i)""")
+def b1_length_buckets(spark, d):
+    """B1 with calls of lines of like length: the same rows as b1_batch_map."""
+    from tulkki.operators.infer import batch_map
+    lines = s1_read_lines(spark, d)
+    return batch_map(lines, reverse_words_model, ["line"], "prediction", batch_size=8, length=F.size(F.split("line", " "))) \
+        .select("doc_id", "pos", "prediction", "prediction_error")
+
+
 @register("b2_route_and_map", f"""
 WITH langs AS (SELECT DISTINCT lang FROM documents),
 s AS (SELECT doc_id, lang, {q.split_lines('text')} AS ls FROM documents),

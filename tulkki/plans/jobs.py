@@ -61,3 +61,34 @@ def transcribe_job(spark: SparkSession, manifest: DataFrame, make_predict: Calla
     good = out.where("text_error IS NULL").select(pred.alias("pred_path"), "path", "Language", "asr_model", tx.strip(F.col("text")).alias("text"))
     bad = out.where("text_error IS NOT NULL").withColumnRenamed("text_error", "reject_reason").drop("text", "asr_folder")
     return good, unknown.unionByName(bad, allowMissingColumns=True)
+
+
+def transcribe_recordings(spark: SparkSession, root: str, make_predict: Callable, done: DataFrame | None = None, pattern: str = "*.wav",
+                          batch_size: int = 8, max_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """B3 with the recordings' bytes: the model gets contents and returns texts.
+
+    Recordings under ``root`` are read where they are mapped, once for each
+    model that applies to their language: contents are never shuffled, and the
+    tasks of one model follow those of another, so that a worker loads each
+    once.  A call has ``batch_size`` recordings and ``max_bytes`` at most (or
+    one longer recording).  ``done``, transcripts and rejects are those of
+    ``transcribe_job``; recordings of an unknown language are rejects.  Files
+    of no bytes at all aren't listed by Spark and give no row.
+    """
+    from tulkki.sources.files import audio_manifest
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    named = files.select("path", tx.file_name("path").alias("file_name"), "content")
+    named = named.withColumn("Language", tx.parse_recording(tx.file_stem("file_name"))["lang"])
+    out = None
+    for model, folder in dims.ASR_MODELS.items():
+        work = named.where(F.col("Language").isNotNull() & rel.asr_model_applies(F.lit(model), F.col("Language")))
+        if done is not None:
+            work = work.join(done.where(F.col("asr_model") == model).select("path").distinct(), "path", "left_anti")
+        work = work.select("path", "file_name", "Language", F.lit(model).alias("asr_model"), F.lit(folder).alias("asr_folder"), "content")
+        part = batch_map(work, make_predict, ["content"], "text", batch_size, model=model, max_bytes=max_bytes, drop_inputs=True)
+        out = part if out is None else out.unionByName(part)
+    pred = F.format_string("data/results/asr/%s/%s_transcription.txt", "asr_folder", tx.file_stem("file_name"))
+    good = out.where("text_error IS NULL").select(pred.alias("pred_path"), "path", "Language", "asr_model", tx.strip(F.col("text")).alias("text"))
+    bad = out.where("text_error IS NOT NULL").withColumnRenamed("text_error", "reject_reason").drop("text", "asr_folder")
+    unknown = audio_manifest(spark, root, pattern).where("Language IS NULL").select("path", "file_name", "Language", F.lit("unknown_language").alias("reject_reason"))
+    return good, unknown.unionByName(bad, allowMissingColumns=True)
