@@ -892,19 +892,27 @@ def e2_mt_human_source(spark, d):
     return r.withColumns({c: _r6(F.col(c)) for c in ("METEOR", "TER", "COMET")})
 
 
-_MT_SEGMENTS = f"""
-s AS (SELECT doc_id, lang, cond_no, sents FROM (
+_OPUS = f"({', '.join(repr(x) for x in dims.MT_MODELS)})"
+
+
+def _mt_segments_sql(p: str = "") -> str:
+    """CTEs, their names prefixed with ``p``: the sentences of documents as translation segments (``seg``) and their words (``pw``)."""
+    return f"""
+{p}s AS (SELECT doc_id, lang, cond_no, sents FROM (
   SELECT doc_id, lang, CAST(doc_id % 6 + 1 AS INTEGER) AS cond_no, {q.split_lines('t')} AS sents FROM (
     SELECT doc_id, lang, replace(regexp_replace(regexp_replace({q.strip('text')},
         '(^|[^\\pL\\pN_])({_ABBR})\\.\\s*', '\\1\\2{_PH}', 'gi'), '\\.\\s*', '.' || chr(10), 'g'), '{_PH}', '. ') AS t FROM documents))),
-t AS (SELECT *, list_filter(['en', 'fr', 'de', 'es'], lambda x: x <> lang) AS others FROM s),
-u AS (SELECT doc_id, cond_no, sents, lang AS src_lang, others[doc_id % len(others) + 1] AS tgt_lang FROM t),
-v AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND 'opus_mt_' || src_lang || '_' || tgt_lang IN ({', '.join(repr(x) for x in dims.MT_MODELS)})
-             THEN 'opus_mt_' || src_lang || '_' || tgt_lang ELSE 'nllb' END AS mt_model FROM u),
-g AS (SELECT doc_id, src_lang, tgt_lang, mt_model, cond_no, i - 1 AS pos, CASE WHEN mt_model = 'nllb' THEN 11 ELSE 12 END AS k,
-        array_to_string(list_reverse(string_split(sents[i], ' ')), ' ') AS ref FROM v, unnest(range(1, len(sents) + 1)) x(i)),
-seg AS (SELECT *, {q.strip(q.corrupt_line('ref', 'doc_id', 'pos', 'k', 'cond_no'))} AS hyp FROM g),
-pw AS (SELECT doc_id, pos, src_lang, tgt_lang, mt_model, {q.words(q.normalize('ref'))} AS r, {q.words(q.normalize('hyp'))} AS h FROM seg)"""
+{p}t AS (SELECT *, list_filter(['en', 'fr', 'de', 'es'], lambda x: x <> lang) AS others FROM {p}s),
+{p}u AS (SELECT doc_id, cond_no, sents, lang AS src_lang, others[doc_id % len(others) + 1] AS tgt_lang FROM {p}t),
+{p}v AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND 'opus_mt_' || src_lang || '_' || tgt_lang IN {_OPUS}
+             THEN 'opus_mt_' || src_lang || '_' || tgt_lang ELSE 'nllb' END AS mt_model FROM {p}u),
+{p}g AS (SELECT doc_id, src_lang, tgt_lang, mt_model, cond_no, i - 1 AS pos, CASE WHEN mt_model = 'nllb' THEN 11 ELSE 12 END AS k,
+        array_to_string(list_reverse(string_split(sents[i], ' ')), ' ') AS ref FROM {p}v, unnest(range(1, len(sents) + 1)) x(i)),
+{p}seg AS (SELECT *, {q.strip(q.corrupt_line('ref', 'doc_id', 'pos', 'k', 'cond_no'))} AS hyp FROM {p}g),
+{p}pw AS (SELECT doc_id, pos, src_lang, tgt_lang, mt_model, {q.words(q.normalize('ref'))} AS r, {q.words(q.normalize('hyp'))} AS h FROM {p}seg)"""
+
+
+_MT_SEGMENTS = _mt_segments_sql()
 
 
 @register("e2_meteor_comet", f"""
@@ -1018,3 +1026,153 @@ def m5_a5_edit_rate_benchmark(spark, d):
     a = _bench_scores(spark, d, meteor=False, words=False, limits=TerLimits(max_shifts=0, beam=None))
     a = a.select("asr_model", "Condition_Code", F.col("s.ter_edits").alias("ter_edits"), F.col("s.ref_len").alias("ter_ref_len"))
     return rel.corpus_ter(a, ["asr_model", "Condition_Code"]).withColumn("corpus_ter", _r6(F.col("corpus_ter")))
+
+
+# ----------------------------------------------------------------- E1-E4, J9, P9 with all fields, on recordings of the benchmark table:
+# six recordings an item, one for each condition; TER without shifts and beam, which SQL can run
+
+_BENCH_DOCS = """documents AS (SELECT item_id * 6 + c AS doc_id, ['en', 'fr', 'de', 'es'][CAST(item_id % 4 + 1 AS INTEGER)] AS lang, text FROM benchmark, range(6) r(c))"""
+
+
+def bench_documents(spark, d):
+    langs = F.array(*[F.lit(x) for x in corpus.CORPUS_LANGS])
+    b = _t(spark, d, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"))
+    return b.select((F.col("item_id") * 6 + F.col("c")).alias("doc_id"), F.element_at(langs, (F.col("item_id") % 4 + 1).cast("int")).alias("lang"), "text")
+
+
+_RECORDS = f"""
+WITH RECURSIVE {_BENCH_DOCS},
+{q.corpus_ctes()},
+ra AS (SELECT *, {q.normalize("array_to_string(list_transform(ref_lines, lambda x: " + q.normalize('x') + "), ' ')")} AS ref_text,
+         {q.normalize("array_to_string(pred_lines, ' ')")} AS pred_text, recording AS base FROM outs),
+rb AS (SELECT *, 'a' || row_number() OVER () AS pair_id, CAST(ref_text <> '' AS INTEGER) AS n_ref, regexp_matches(base, '{tx.RECORDING_RE}') AS ok,
+         coalesce(TRY_CAST(regexp_extract(base, '(?i)[-_]c(\\d+)', 1) AS BIGINT) - 1, -1) AS parsed FROM ra),
+rc AS (SELECT *, CASE WHEN n_ref = 1 THEN 0 ELSE parsed END AS line_index,
+         CASE WHEN NOT (CASE WHEN n_ref = 1 THEN 0 ELSE parsed END BETWEEN 0 AND n_ref - 1) THEN 'invalid_line_index'
+              WHEN len(pred_lines) = 0 THEN 'empty_prediction' END AS reject_reason FROM rb),
+{_mt_segments_sql('mt_')},
+oa AS (SELECT *, list_filter(['en', 'fr', 'de', 'es'], lambda x: x <> lang) AS others FROM outs),
+ob AS (SELECT *, others[doc_id % len(others) + 1] AS tgt_lang FROM oa),
+oc AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND 'opus_mt_' || lang || '_' || tgt_lang IN {_OPUS} THEN 'opus_mt_' || lang || '_' || tgt_lang ELSE 'nllb' END AS mt_model,
+         list_transform(ref_lines, lambda x: array_to_string(list_reverse(string_split(x, ' ')), ' ')) AS refs FROM ob),
+od AS (SELECT *, CASE WHEN mt_model = 'nllb' THEN 11 ELSE 12 END AS k FROM oc),
+oe AS (SELECT doc_id, lang AS src_lang, tgt_lang, asr_model, mt_model, pred_path, cond_no, k, i - 1 AS pos, refs[i] AS ref
+       FROM od, unnest(range(1, least(len(pred_lines), len(refs)) + 1)) u(i)),
+segs AS (
+  SELECT 'h' || row_number() OVER () AS pair_id, doc_id, src_lang, tgt_lang, CAST(NULL AS VARCHAR) AS asr_model, mt_model, CAST(NULL AS VARCHAR) AS source_file, r, h FROM mt_pw
+  UNION ALL
+  SELECT 't' || row_number() OVER (), doc_id, src_lang, tgt_lang, asr_model, mt_model, pred_path, {q.words(q.normalize('ref'))},
+    {q.words(q.normalize(q.strip(q.corrupt_line('ref', 'doc_id', 'pos', 'k', 'cond_no'))))} FROM oe),
+pairs AS (SELECT pair_id, r, h FROM segs UNION ALL
+          SELECT pair_id, {q.words('ref_text')}, {q.words('pred_text')} FROM rc WHERE reject_reason IS NULL),
+{q.ALIGN_CTES},
+asr AS (
+  SELECT doc_id, 'ASR' AS Task, asr_model AS Model, lang AS Language,
+    CASE WHEN ok THEN concat_ws('-', regexp_extract(base, '{tx.RECORDING_RE}', 1), regexp_extract(base, '{tx.RECORDING_RE}', 2),
+      regexp_extract(base, '{tx.RECORDING_RE}', 3), regexp_extract(base, '{tx.RECORDING_RE}', 4)) ELSE base END || '.wav' AS Audio_File_Name,
+    CAST(line_index AS BIGINT) AS Line_Index,
+    CASE WHEN ok THEN regexp_extract(base, '{tx.RECORDING_RE}', 2) || '_' || regexp_extract(base, '{tx.RECORDING_RE}', 3) END AS Speaker_Group,
+    CASE WHEN ok THEN regexp_extract(base, '{tx.RECORDING_RE}', 2) END AS Speaker_Type,
+    CASE WHEN ok THEN regexp_extract(base, '{tx.RECORDING_RE}', 3) END AS Speaker_Gender,
+    d.Condition_Code, d.Noise_Level, d.Noise_Type, d.Voice_Volume, lang AS Source_Lang, CAST(NULL AS VARCHAR) AS Target_Lang,
+    'N/A (ASR Task)' AS ASR_WER_Status, CAST(NULL AS DOUBLE) AS High_WER_Percentage,
+    CASE WHEN nr > 0 THEN (subs + dels + ins)::DOUBLE / nr END AS WER,
+    CASE WHEN nr > 0 THEN CASE WHEN nh = 0 THEN 1.0 ELSE 1 - hits::DOUBLE / nr * (hits::DOUBLE / nh) END END AS WIL,
+    CAST(NULL AS DOUBLE) AS METEOR, CAST(NULL AS DOUBLE) AS TER, CAST(NULL AS DOUBLE) AS COMET,
+    ref_text AS Ref_Text_Normalized, pred_text AS Pred_Text_Normalized, 'data/normalized/' || lang || '_SOURCE.txt' AS Ref_File_Path, pred_path AS Pred_File_Path,
+    reject_reason, asr_folder
+  FROM rc LEFT JOIN e USING (pair_id)
+  LEFT JOIN {q.CONDITIONS} d ON d.Condition_Code = CASE WHEN ok THEN regexp_extract(base, '{tx.RECORDING_RE}', 4) END),
+hw AS (SELECT pair_id, word, hp, row_number() OVER (PARTITION BY pair_id, word ORDER BY hp DESC) AS k
+       FROM (SELECT pair_id, unnest(h) AS word, unnest(range(len(h))) AS hp FROM segs)),
+rw AS (SELECT pair_id, word, rp, row_number() OVER (PARTITION BY pair_id, word ORDER BY rp DESC) AS k
+       FROM (SELECT pair_id, unnest(r) AS word, unnest(range(len(r))) AS rp FROM segs)),
+wm AS (SELECT pair_id, hp, rp FROM hw JOIN rw USING (pair_id, word, k)),
+wc AS (SELECT wm.pair_id, count(*) AS mm, count(*) - count(n.hp) AS ch FROM wm LEFT JOIN wm n ON wm.pair_id = n.pair_id AND n.hp = wm.hp + 1 AND n.rp = wm.rp + 1 GROUP BY wm.pair_id),
+scored AS (SELECT segs.*, subs + dels + ins AS edits, nr,
+    CASE WHEN coalesce(mm, 0) = 0 THEN 0.0 ELSE ((mm::DOUBLE / len(h)) * (mm::DOUBLE / len(r)) / (0.9 * (mm::DOUBLE / len(h)) + 0.1 * (mm::DOUBLE / len(r))))
+      * (1 - 0.5 * power(ch::DOUBLE / mm, 3)) END AS meteor,
+    CASE WHEN len(list_distinct(list_concat(h, r))) = 0 THEN NULL
+      ELSE round(len(list_intersect(list_distinct(h), list_distinct(r)))::DOUBLE / len(list_distinct(list_concat(h, r))), 6) END AS comet
+  FROM segs LEFT JOIN wc USING (pair_id) LEFT JOIN e USING (pair_id)),
+files AS (SELECT doc_id, src_lang, tgt_lang, asr_model, mt_model, any_value(source_file) AS source_file,
+    CAST(sum(CAST(round(meteor * 1e9) AS BIGINT)) AS DOUBLE) / count(meteor) / 1e9 AS METEOR,
+    CAST(sum(CAST(round(comet * 1e9) AS BIGINT)) AS DOUBLE) / count(comet) / 1e9 AS COMET,
+    CASE WHEN sum(nr) > 0 THEN 100.0::DOUBLE * sum(edits) / sum(nr) WHEN sum(edits) > 0 THEN 100.0 ELSE 0.0 END AS TER
+  FROM scored GROUP BY ALL),
+means AS (SELECT Language, Model, avg(WER) AS w, avg(WIL) AS l, count(*) FILTER (WHERE WER > 0.4)::DOUBLE / count(*) AS high FROM asr WHERE reject_reason IS NULL GROUP BY ALL),
+mt AS (
+  SELECT f.doc_id, f.asr_model, 'MT' AS Task, f.mt_model AS Model, f.tgt_lang AS Language,
+    CASE WHEN f.asr_model IS NULL THEN 'Human Source' ELSE a.Audio_File_Name END AS Audio_File_Name, CASE WHEN f.asr_model IS NULL THEN -1 ELSE a.Line_Index END AS Line_Index,
+    {', '.join(f"CASE WHEN f.asr_model IS NULL THEN 'N/A' ELSE a.{c} END AS {c}" for c in ("Speaker_Group", "Speaker_Type", "Speaker_Gender", "Condition_Code", "Noise_Level", "Noise_Type", "Voice_Volume"))},
+    f.src_lang AS Source_Lang, f.tgt_lang AS Target_Lang,
+    CASE WHEN f.asr_model IS NULL THEN 'Human Source' ELSE 'ASR Source (' || f.src_lang || '_' || coalesce(a.asr_folder, f.asr_model) || ')' END AS ASR_WER_Status,
+    CASE WHEN f.asr_model IS NULL THEN 0.0 ELSE m.high END AS High_WER_Percentage, CASE WHEN f.asr_model IS NULL THEN 0.0 ELSE m.w END AS WER,
+    CASE WHEN f.asr_model IS NULL THEN 0.0 ELSE m.l END AS WIL, METEOR_ AS METEOR, TER_ AS TER, COMET_ AS COMET,
+    source AS Source_File, 'data/' || f.tgt_lang || '/' || f.tgt_lang || '_SOURCE.txt' AS Ref_File,
+    'data/results/mt/' || g.mt_folder || '/' || replace(regexp_replace(regexp_extract(source, '[^/]*$'), '^(.*[^.].*)\\.[^.]*$', '\\1'), '-', '_')
+      || '_' || split_part(f.mt_model, '_', 1) || '_' || f.src_lang || '2' || f.tgt_lang || '_results.txt' AS Pred_File
+  FROM (SELECT *, METEOR AS METEOR_, TER AS TER_, COMET AS COMET_, coalesce(source_file, 'data/' || src_lang || '/' || src_lang || '_SOURCE.txt') AS source FROM files) f
+  JOIN {q.MT_MODELS} g USING (mt_model)
+  LEFT JOIN asr a ON a.doc_id = f.doc_id AND a.Language = f.src_lang AND a.Model = f.asr_model AND a.reject_reason IS NULL
+  LEFT JOIN means m ON m.Language = a.Language AND m.Model = a.Model)"""
+
+
+def _rounded(df):
+    return df.withColumns({c: _r6(F.col(c)) for c in ("WER", "WIL", "High_WER_Percentage", "METEOR", "TER", "COMET")})
+
+
+_ROUND = "round(WER, 6) AS WER, round(WIL, 6) AS WIL, round(High_WER_Percentage, 6) AS High_WER_Percentage, round(METEOR, 6) AS METEOR, round(TER, 6) AS TER, round(COMET, 6) AS COMET"
+
+
+def bench_asr(spark, d):
+    from tulkki.plans.evaluate import evaluate_asr
+    return evaluate_asr(spark, corpus.asr_outputs(spark, bench_documents(spark, d)))
+
+
+def bench_mt(spark, d, on_asr: bool):
+    """Records of translations of a human source, or (J9) of transcripts, without the shifts of TER."""
+    from tulkki.operators.ter import TerLimits
+    from tulkki.plans.evaluate import evaluate_mt, evaluate_mt_on_asr
+    docs, limits = bench_documents(spark, d), TerLimits(max_shifts=0, beam=None)
+    if on_asr:
+        r = evaluate_mt_on_asr(corpus.mt_on_asr_lists(spark, docs), bench_asr(spark, d), overlap_scorer, limits=limits)
+    else:
+        r = evaluate_mt(corpus.mt_segments(spark, docs), overlap_scorer, limits=limits)
+    return r.drop("src_lang", "tgt_lang", "mt_model")
+
+
+@register("e1_records_benchmark", _RECORDS + f" SELECT * EXCLUDE (asr_folder) REPLACE ({_ROUND}) FROM asr")
+def e1_records_benchmark(spark, d):
+    """The whole ASR record, rejects included."""
+    return _rounded(bench_asr(spark, d).drop("al"))
+
+
+@register("e2_records_benchmark", _RECORDS + f" SELECT * EXCLUDE (asr_model) REPLACE ({_ROUND}) FROM mt WHERE asr_model IS NULL")
+def e2_records_benchmark(spark, d):
+    """The whole MT record of a human source."""
+    return _rounded(bench_mt(spark, d, False).drop("asr_model"))
+
+
+@register("e3_j9_records_benchmark", _RECORDS + f" SELECT * REPLACE ({_ROUND}) FROM mt WHERE asr_model IS NOT NULL")
+def e3_j9_records_benchmark(spark, d):
+    """The whole MT record of a transcript, with the transcript's quality and metadata."""
+    return _rounded(bench_mt(spark, d, True))
+
+
+@register("e4_summary_benchmark", _RECORDS + f""" SELECT * REPLACE ({_ROUND}) FROM (
+  SELECT * EXCLUDE (doc_id, reject_reason, asr_folder) FROM asr UNION ALL BY NAME SELECT * EXCLUDE (doc_id, asr_model) FROM mt)""")
+def e4_summary_benchmark(spark, d):
+    """All records unioned by name, known columns first."""
+    asr = bench_asr(spark, d).drop("al", "reject_reason", "doc_id")
+    mt = bench_mt(spark, d, False).unionByName(bench_mt(spark, d, True)).drop("doc_id", "asr_model")
+    return _rounded(rel.compile_results(asr, mt))
+
+
+@register("m1_align_tiles_benchmark", _BENCH_COUNTS + " SELECT item_id, asr_model, Condition_Code, hits, subs, dels, ins FROM counts")
+def m1_align_tiles_benchmark(spark, d):
+    """M1 of every benchmark pair of more than eight words by tiles of sixteen words, so that a pair is spread over tasks."""
+    from tulkki.operators.long_align import align_pairs
+    pairs = corpus.benchmark_pairs(spark, _t(spark, d, "benchmark"))
+    a = align_pairs(pairs, ["item_id", "asr_model", "Condition_Code"], long_words=8, tile=16)
+    return a.select("item_id", "asr_model", "Condition_Code", "al.hits", "al.subs", "al.dels", "al.ins")
