@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tulkki import dims
 from tulkki.functions import text as tx
+from tulkki.operators.tables import small
 from tulkki.schemas import KNOWN_COLUMNS
 
 
@@ -119,15 +120,15 @@ def count_mismatch(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 
 
 def with_condition(df: DataFrame, conditions: DataFrame, code_col: str = "Condition_Code") -> DataFrame:
-    """Broadcast left join to the (6-row) condition dimension."""
+    """Left join to the condition dimension (broadcast, being small)."""
     c = conditions.withColumnRenamed("Condition_Code", "__code")
-    return (df.join(F.broadcast(c), df[code_col] == c["__code"], "left").drop("__code"))
+    return (df.join(small(c), df[code_col] == c["__code"], "left").drop("__code"))
 
 
 def with_mt_model(df: DataFrame, pairs: DataFrame, src_col="src_lang", tgt_col="tgt_lang") -> DataFrame:
     """Opus model by (src, tgt); unsupported pair -> reject reason."""
     p = pairs.withColumnRenamed("src_lang", "__s").withColumnRenamed("tgt_lang", "__t")
-    out = df.join(F.broadcast(p), (df[src_col] == p["__s"]) & (df[tgt_col] == p["__t"]), "left")
+    out = df.join(small(p), (df[src_col] == p["__s"]) & (df[tgt_col] == p["__t"]), "left")
     return (out.withColumn("pair_reject", F.when(F.col("opus_model").isNull(), F.lit("unsupported_pair")))
                .drop("__s", "__t"))
 
@@ -135,7 +136,7 @@ def with_mt_model(df: DataFrame, pairs: DataFrame, src_col="src_lang", tgt_col="
 def with_code(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, out: str) -> DataFrame:
     """Code lookup defaulting to the key itself."""
     d = dim.select(F.col(dim_key).alias("__k"), F.col(value).alias("__v"))
-    return (df.join(F.broadcast(d), df[key] == d["__k"], "left")
+    return (df.join(small(d), df[key] == d["__k"], "left")
               .withColumn(out, F.coalesce(F.col("__v"), df[key])).drop("__k", "__v"))
 
 
@@ -182,6 +183,34 @@ def join_lines(df: DataFrame, keys: list[str], pos: str = "pos", text: str = "te
     return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias(out))
 
 
+def join_stretches(df: DataFrame, keys: list[str], pos: str = "pos", text: str = "text", stretch: int = 1 << 20, block: int = 10_000) -> DataFrame:
+    """A1 for files of any size: keys, stretch (from 0) and ``text``.
+
+    A stretch has the lines, joined by a blank, whose first character lies in
+    its ``stretch`` characters of the joined text, so that no row is longer
+    than that and a line; a file's stretches in order are its text.  Lengths
+    are first summed by blocks of ``block`` positions, whose starts follow
+    from a row a block, then within each block: a file of any number of lines
+    is spread over tasks.  Null texts are left out, as ``join_lines`` does;
+    positions are unique in a file and 0 at least.
+    """
+    size = F.char_length("_text") + 1
+    rows = df.select(*keys, F.col(pos).alias("_pos"), F.col(text).alias("_text"), F.floor(F.col(pos) / block).alias("_block")).where("_text IS NOT NULL")
+    # null keys are keys here
+    key = F.struct(*keys)
+    rows = rows.withColumn("_key", key)
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy("_key", "_block").agg(F.sum(size).alias("_size"))
+              .select("_key", "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")))
+    within = Window.partitionBy("_key", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_at", F.coalesce(F.sum(size).over(within), F.lit(0))).join(starts, ["_key", "_block"])
+    number = F.floor((F.col("_start") + F.col("_at")) / stretch).alias("stretch")
+    lines = F.array_sort(F.collect_list(F.struct("_pos", "_text")))
+    return (placed.select("_key", number, "_pos", "_text").groupBy("_key", "stretch")
+            .agg(F.array_join(F.transform(lines, lambda x: x["_text"]), " ").alias(text))
+            .select(*[F.col("_key")[k].alias(k) for k in keys], "stretch", text))
+
+
 def quality_report(df: DataFrame, keys: list[str], threshold: float = dims.HIGH_WER_THRESHOLD,
                    accepted: Column | None = None) -> DataFrame:
     """A2/A3: mean WER, mean WIL (missing skipped) and the share with WER > threshold.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,3 +28,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a dimension of ``most`` narrow rows at most; a larger table is joined by shuffle, with the same result."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -72,6 +72,11 @@ def s1_read_lines(spark, d):
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
+@register("f17_lower", "SELECT doc_id, lower(text) AS lowered FROM documents")
+def f17_lower(spark, d):
+    return _t(spark, d, "documents").select("doc_id", tx.lower("text").alias("lowered"))
+
+
 @register("f18_f19_words", f"""
 SELECT doc_id, CAST(len({q.words('text')}) AS BIGINT) AS n_words,
        array_to_string({q.words('text')}[1:512], ' ') AS head512
@@ -234,6 +239,30 @@ def p5_p6_rejects(spark, d):
 
 # ----------------------------------------------------------------- J: joins
 
+@register("p10_only", f"""
+WITH {q.corpus_ctes()}
+SELECT doc_id, lang, pred_path, len(pred_lines) AS n_lines FROM outs WHERE asr_model = 'parakeet'""")
+def p10_only(spark, d):
+    """P10: the transcripts of one model, by the filter that makes a job a single slice's."""
+    out = corpus.asr_outputs(spark, _t(spark, d, "documents"))
+    return rel.only(out, "asr_model", "parakeet").select("doc_id", "lang", "pred_path", F.size("pred_lines").cast("bigint").alias("n_lines"))
+
+
+@register("p6_warnings", f"""
+WITH {q.corpus_ctes()},
+b AS (SELECT doc_id, asr_model, len(ref_lines) AS n_ref, len(pred_lines) AS n_pred, regexp_matches(recording, '{tx.RECORDING_RE}') AS ok FROM outs)
+SELECT doc_id, asr_model, concat_ws(',', CASE WHEN n_ref <> n_pred THEN 'count_mismatch' END, CASE WHEN NOT ok THEN 'unparsed_metadata' END,
+  CASE WHEN n_pred = 0 THEN 'missing_prediction' END) AS warnings FROM b""")
+def p6_warnings(spark, d):
+    """What each transcript is flagged for, on rows that stay."""
+    from tulkki.operators.observed import warned
+    out = corpus.asr_outputs(spark, _t(spark, d, "documents"))
+    base = tx.recording_base(tx.file_name("pred_path"))
+    flags = warned((F.size("ref_lines") != F.size("pred_lines"), "count_mismatch"), (tx.parse_recording(base)["lang"].isNull(), "unparsed_metadata"),
+                   (F.size("pred_lines") == 0, "missing_prediction"))
+    return out.select("doc_id", "asr_model", F.array_join(flags, ",").alias("warnings"))
+
+
 @register("j1_align_by_position", """
 WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE role = 'assistant')
@@ -294,7 +323,7 @@ def j6_fan_out(spark, d):
     docs = _t(spark, d, "documents")
     lines = docs.select("doc_id", "lang", F.posexplode(tx.split_lines("text")).alias("pos", "line")) \
                 .withColumn("pos", F.col("pos").cast("bigint"))
-    return rel.fan_out(lines, corpus.CORPUS_LANGS).select("doc_id", "pos", F.col("lang").alias("src_lang"), "tgt_lang")
+    return rel.fan_out(lines, corpus.languages(docs)).select("doc_id", "pos", F.col("lang").alias("src_lang"), "tgt_lang")
 
 
 @register("j7_task_grid", f"""
@@ -310,7 +339,7 @@ SELECT g.* FROM g SEMI JOIN have USING (src_lang, asr_model, grp, Condition_Code
 def j7_task_grid(spark, d):
     """ASR model x speaker group x condition x MT model, limited to existing transcripts."""
     docs = _t(spark, d, "documents")
-    pairs = rel.language_pairs(corpus.languages(spark))
+    pairs = rel.language_pairs(docs.select("lang").distinct())
     grid = (pairs.crossJoin(F.broadcast(dims.asr_models(spark).select("asr_model")))
                  .filter(rel.asr_model_applies(F.col("asr_model"), F.col("src_lang")))
                  .crossJoin(F.broadcast(dims.speaker_groups(spark).withColumnRenamed("Speaker_Group", "grp")))
@@ -352,6 +381,27 @@ def a1_join_lines(spark, d):
     return rel.join_lines(c, ["conv_id"], pos="turn", text="text", out="text")
 
 
+@register("a1_join_stretches", """
+WITH c AS (SELECT conv_id, turn, text, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 1 AS place FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, CAST(place // 200 AS BIGINT) AS stretch, string_agg(text, ' ' ORDER BY turn) AS text FROM c GROUP BY ALL""")
+def a1_join_stretches(spark, d):
+    """A1 in stretches of bounded length, two turns a block."""
+    return rel.join_stretches(_t(spark, d, "conversations"), ["conv_id"], "turn", "text", stretch=200, block=2)
+
+
+@register("s12_reference_stretches", f"""
+WITH l AS (SELECT doc_id, {q.split_lines('text')} AS ls FROM documents),
+n AS (SELECT doc_id, i, {q.normalize('ls[i]')} AS t FROM l, unnest(range(1, len(ls) + 1)) u(i)),
+c AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS place FROM n WHERE t <> '')
+SELECT doc_id, CAST(place // 1000 AS BIGINT) AS stretch, string_agg(t, ' ' ORDER BY i) AS text FROM c GROUP BY ALL""")
+def s12_reference_stretches(spark, d):
+    """S12 of every document in stretches of a thousand characters."""
+    from tulkki.plans.evaluate import prepare_reference_stretches
+    docs = _t(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(tx.split_lines("text")).alias("pos", "text"))
+    return prepare_reference_stretches(lines, ["doc_id"], stretch=1000)
+
+
 @register("a8_first_metadata", """
 SELECT user_id, first(event_type ORDER BY ts, event_id) AS event_type, first(value ORDER BY ts, event_id) AS value
 FROM events GROUP BY user_id""")
@@ -418,7 +468,7 @@ def u1_p7_p8_compile_results(spark, d):
     asr = rel.with_task(out.select(F.col("asr_model").alias("Model"), F.col("lang").alias("Language"),
                                    F.concat(F.lit("c"), F.col("cond_no").cast("string")).alias("Condition_Code"),
                                    F.col("lang").alias("Source_Lang"), F.col("pred_path").alias("Pred_File_Path")), "ASR")
-    pairs = rel.language_pairs(corpus.languages(spark))
+    pairs = rel.language_pairs(docs.select("lang").distinct())
     mt = rel.with_task(rel.applicable_mt(pairs, F.broadcast(dims.mt_models(spark)))
                        .select(F.col("mt_model").alias("Model"), F.col("tgt_lang").alias("Language"),
                                F.col("src_lang").alias("Source_Lang"), F.col("tgt_lang").alias("Target_Lang"),
@@ -493,7 +543,7 @@ WITH f AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'x' || CAST(doc_id AS VARCHAR) |
     lang, doc_id % 7 = 0 AS unknown, {q.split_lines('text')} AS ls FROM documents),
 l AS (SELECT file_name, lang, unknown, CAST(i - 1 AS BIGINT) AS pos, ls[i] AS line FROM f, unnest(range(1, len(ls) + 1)) u(i)),
 x AS (SELECT l.file_name, l.lang, l.pos, l.line, t.tgt, m.mt_model, m.mt_folder
-      FROM l, (SELECT unnest(['en', 'fr', 'de', 'es']) AS tgt) t, {q.MT_MODELS} m
+      FROM l, (SELECT DISTINCT lang AS tgt FROM documents) t, {q.MT_MODELS} m
       WHERE NOT unknown AND lang <> tgt AND (contains(m.mt_model, lang || '_' || tgt) OR starts_with(m.mt_model, 'nllb')))
 SELECT 'data/results/mt/' || mt_folder || '/' || replace(regexp_replace(file_name, '\\.[^.]*$', ''), '-', '_') || '_' || split_part(mt_model, '_', 1) || '_' || lang || '2' || tgt || '_results.txt' AS path,
   pos, split_part(mt_model, '_', 1) || ': ' || array_to_string(list_reverse(string_split(line, ' ')), ' ') AS text, NULL AS reject_reason FROM x
@@ -504,8 +554,9 @@ def b4_translate_job(spark, d):
     from tulkki.plans.jobs import translate_job
     doc = F.col("doc_id").cast("string")
     name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("x"), doc, F.lit(".txt"))).otherwise(F.concat("lang", F.lit("-"), doc, F.lit(".part.txt")))
-    lines = _t(spark, d, "documents").select(name.alias("file_name"), F.posexplode(tx.split_lines("text")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("bigint"))
-    good, bad = translate_job(lines, tagged_reverse_model, corpus.CORPUS_LANGS)
+    docs = _t(spark, d, "documents")
+    lines = docs.select(name.alias("file_name"), F.posexplode(tx.split_lines("text")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("bigint"))
+    good, bad = translate_job(lines, tagged_reverse_model, corpus.languages(docs))
     return (good.select("path", "pos", "text", F.lit(None).cast("string").alias("reject_reason"))
             .unionByName(bad.select(F.col("file_name").alias("path"), "pos", "text", "reject_reason")))
 
@@ -734,7 +785,7 @@ def b2_route_and_map(spark, d):
     from tulkki.operators.infer import batch_map
     docs = _t(spark, d, "documents")
     lines = s1_read_lines(spark, d).join(docs.select("doc_id", "lang"), "doc_id")
-    fan = rel.fan_out(lines, corpus.CORPUS_LANGS)
+    fan = rel.fan_out(lines, corpus.languages(docs))
     routed = rel.applicable_mt(fan, F.broadcast(dims.mt_models(spark).select("mt_model")), "lang", "tgt_lang")
     return batch_map(routed, tagged_reverse_model, ["line"], "prediction", batch_size=4, model_col="mt_model") \
         .select("doc_id", "pos", "tgt_lang", "mt_model", "prediction")

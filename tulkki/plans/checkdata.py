@@ -114,9 +114,12 @@ CORPUS_LANGS = ["en", "fr", "de", "es"]
 # ---------------------------------------------------------------------------
 
 
-def languages(spark: SparkSession) -> DataFrame:
-    """The declared corpus languages: a dimension of fixed size."""
-    return spark.createDataFrame([(x,) for x in CORPUS_LANGS], "lang string")
+def languages(documents: DataFrame, most: int = 1000) -> list[str]:
+    """The languages of the documents, of which there may be ``most``: more are no language codes."""
+    found = [r["lang"] for r in documents.select("lang").where("lang IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} languages")
+    return sorted(found)
 
 
 def benchmark_pairs(spark: SparkSession, benchmark: DataFrame) -> DataFrame:
