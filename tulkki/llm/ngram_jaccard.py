@@ -36,6 +36,8 @@ from tulkki.llm.words import Prefix, Words, mix, pieces
 
 CELL_BITS = 23
 BLOCK_BITS = 15
+#: What a task works on at once: text, rows with bitmaps, bytes of bitmaps of compared pairs.
+TEXT_BYTES, SLICE_ROWS, AT_ONCE_BYTES = 1 << 19, 2048, 8 << 20
 #: Stands for a null doc_id inside the join: larger than any other.
 NO_ID = (1 << 63) - 1
 SKETCH = "doc_id long, tag long, node long, n int, prefix array<long>, bitmap binary"
@@ -84,19 +86,17 @@ def _cells(k: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            for _, _, data, offsets in pieces(batch.column("text")):
+            for _, _, data, offsets in pieces(batch.column("text"), TEXT_BYTES):
                 sets = Sets(data, offsets, k)
                 cells, times = np.unique(sets.gram[sets.prefix(percent, 2)[0]] >> np.uint64(64 - CELL_BITS), return_counts=True)
                 counts[cells] += times.astype(np.uint32)
-        used = np.flatnonzero(counts)
-        block = used >> BLOCK_BITS
-        edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(used)) if len(used) else np.zeros(1, np.int64)
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            cells, times = used[lo:hi], counts[used[lo:hi]]
-            yield pa.RecordBatch.from_arrays([pa.array([block[lo]], pa.int32()),
-                                              pa.array([(cells & (1 << BLOCK_BITS) - 1).astype(np.uint16).tobytes()], pa.binary()),
-                                              pa.array([times.astype(np.uint16 if times.max() < 1 << 16 else np.uint32).tobytes()], pa.binary())],
-                                             names=["block", "cells", "counts"])
+        for block, some in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            cells = np.flatnonzero(some)
+            if len(cells):
+                times = some[cells]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cells.astype(np.uint16).tobytes()], pa.binary()),
+                                                  pa.array([times.astype(np.uint16 if times.max() < 1 << 16 else np.uint32).tobytes()], pa.binary())],
+                                                 names=["block", "cells", "counts"])
     return task
 
 
@@ -146,7 +146,7 @@ def _sketch(k: int, percent: int, hot: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column("doc_id"), batch.column("tag")
-            for lo, hi, data, offsets in pieces(batch.column("text")):
+            for lo, hi, data, offsets in pieces(batch.column("text"), TEXT_BYTES):
                 sets = Sets(data, offsets, k, hot)
                 chosen, size = sets.prefix(percent)
                 bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -171,38 +171,49 @@ class Bitmaps:
     def __init__(self, column: pa.Array):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         _, offsets, data = column.buffers()
-        offsets = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
-        self.words = np.diff(offsets) // 8
+        # bitmaps are whole 64-bit words, one behind the other
+        offsets = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1] // 8
+        self.words = np.diff(offsets)
         self.place = np.zeros(len(column), np.int64)
         self.of: dict[int, np.ndarray] = {}
-        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        raw = np.frombuffer(data, np.uint64, offsets[-1]) if len(column) and offsets[-1] else np.zeros(0, np.uint64)
         for size in np.unique(self.words):
             rows = np.flatnonzero(self.words == size)
             self.place[rows] = np.arange(len(rows))
-            self.of[int(size)] = raw[offsets[rows][:, None] + np.arange(size * 8)].view(np.uint64)
+            self.of[int(size)] = raw[offsets[rows][:, None] + np.arange(size)]
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For each pair of rows, how many classes differ in parity: no more than grams that only one of them has."""
         out = np.zeros(len(x), np.int64)
         kinds = self.words[x] * (1 << 20) + self.words[y]
         for kind in np.unique(kinds):
-            mine = np.flatnonzero(kinds == kind)
-            first, second = self._get(x[mine]), self._get(y[mine])
-            while first.shape[1] > second.shape[1]:
-                first = first[:, :first.shape[1] // 2] ^ first[:, first.shape[1] // 2:]
-            while second.shape[1] > first.shape[1]:
-                second = second[:, :second.shape[1] // 2] ^ second[:, second.shape[1] // 2:]
-            out[mine] = np.bitwise_count(first ^ second).sum(axis=1)
+            every = np.flatnonzero(kinds == kind)
+            # so many pairs at once that their bitmaps take AT_ONCE_BYTES
+            step = max(1, AT_ONCE_BYTES // (8 * int(self.words[x[every[0]]] + self.words[y[every[0]]])))
+            for lo in range(0, len(every), step):
+                mine = every[lo:lo + step]
+                first, second = self._get(x[mine]), self._get(y[mine])
+                while first.shape[1] > second.shape[1]:
+                    first = first[:, :first.shape[1] // 2] ^ first[:, first.shape[1] // 2:]
+                while second.shape[1] > first.shape[1]:
+                    second = second[:, :second.shape[1] // 2] ^ second[:, second.shape[1] // 2:]
+                out[mine] = np.bitwise_count(first ^ second).sum(axis=1)
         return out
 
     def _get(self, rows: np.ndarray) -> np.ndarray:
         return self.of[int(self.words[rows[0]])][self.place[rows]]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(lo, SLICE_ROWS)
+
+
 def _may_link(percent: int):
     """Keep the pairs whose bitmaps leave room for the threshold."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             n = batch.num_rows
             both = Bitmaps(pa.concat_arrays([batch.column("bitmap_a"), batch.column("bitmap_b")]))
@@ -227,7 +238,7 @@ def _compare(percent: int, at_once: int = 1 << 17):
 
     Rows come sorted by cell.  A cell has the members of one block of a gram's
     group (i = j) or of two blocks, which are compared across."""
-    def keep(batch: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    def keep(batch: pa.RecordBatch, bitmaps: Bitmaps, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         node, root, n, at = (batch.column(c).to_numpy() for c in ("node", "root", "n", "at"))
         n = n.astype(np.int64)
         least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
@@ -236,7 +247,7 @@ def _compare(percent: int, at_once: int = 1 << 17):
         fits = (root[x] != root[y]) & (100 * least >= percent * most) & (left * (100 + percent) >= (least + most) * percent)
         x, y = x[fits], y[fits]
         if len(x):
-            bound = (n[x] + n[y] - Bitmaps(batch.column("bitmap")).apart(x, y)) // 2
+            bound = (n[x] + n[y] - bitmaps.apart(x, y)) // 2
             fits = 100 * bound >= percent * (n[x] + n[y] - bound)
             x, y = x[fits], y[fits]
         swap = node[x] > node[y]
@@ -245,7 +256,7 @@ def _compare(percent: int, at_once: int = 1 << 17):
                                           names=["a", "b", "n_a", "n_b"])
 
     def whole(batch: pa.RecordBatch, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        side, xs, ys, count = batch.column("side").to_numpy(), [], [], 0
+        side, xs, ys, count, bitmaps = batch.column("side").to_numpy(), [], [], 0, Bitmaps(batch.column("bitmap"))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
@@ -262,14 +273,14 @@ def _compare(percent: int, at_once: int = 1 << 17):
                 ys.append(y[at:at + at_once] + lo)
                 count += len(xs[-1])
                 if count >= at_once:
-                    yield keep(batch, np.concatenate(xs), np.concatenate(ys))
+                    yield keep(batch, bitmaps, np.concatenate(xs), np.concatenate(ys))
                     xs, ys, count = [], [], 0
         if count:
-            yield keep(batch, np.concatenate(xs), np.concatenate(ys))
+            yield keep(batch, bitmaps, np.concatenate(xs), np.concatenate(ys))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in batches:
+        for batch in _slices(batches):
             if rest is not None:
                 batch = pa.concat_batches([rest, batch])
             gram, i, j = (batch.column(c).to_numpy() for c in ("gram", "i", "j"))
@@ -285,7 +296,7 @@ def _compare(percent: int, at_once: int = 1 << 17):
 def _fragments(k: int, bits: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, hi, data, offsets in pieces(batch.column("text")):
+            for _, hi, data, offsets in pieces(batch.column("text"), TEXT_BYTES):
                 sets = Sets(data, offsets, k)
                 fragment = (sets.gram >> np.uint64(64 - bits)).astype(np.int64)
                 cut = sets.row * (1 << bits) + fragment
@@ -301,7 +312,7 @@ def _fragments(k: int, bits: int):
 def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, votes) that sizes and bitmaps leave."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    fits = F.least("n_a", "n_b").cast("long") * 100 >= F.greatest("n_a", "n_b").cast("long") * percent
     return (pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
             .select("a", "b", "n_a", "n_b", "votes", "bitmap_a", "bitmap_b")
             .mapInArrow(_may_link(percent), "a long, b long, n_a int, n_b int, votes long"))
