@@ -9,8 +9,8 @@ D[i][j-1] = D[i-1][j-1] - 1, else the diagonal.
 The matrix is never materialised as numbers: the bit-parallel recurrence
 (Myers / Hyyro) gives, per reference word, the horizontal +1 / -1 deltas of a
 whole row as two integers, which is all the traceback needs.  Only the start
-states of blocks of rows are kept, and each block that the traceback enters is
-computed again, so memory stays about 2 * sqrt(n) * m bits while the result is
+states of blocks of rows are kept, and each block but the last that the
+traceback enters is computed again, so memory stays about 2 * sqrt(n) * m bits while the result is
 exact for any length.
 """
 
@@ -31,24 +31,22 @@ ALIGN_TYPE = T.StructType([
 ])
 
 
-def _rows(r, pm, mask, top, vp, vn, score, start, stop, keep):
-    """Advance the bit-parallel recurrence over reference rows [start, stop)."""
-    for i in range(start, stop):
-        x = pm.get(r[i], 0) | vn
-        d0 = (((x & vp) + vp) ^ vp) | x
-        hp = vn | (~(d0 | vp) & mask)
-        hn = d0 & vp
+def _rows(places, mask, up, down, keep=None):
+    """Advance the bit-parallel recurrence over reference words, each given by its ``places`` in the hypothesis.
+
+    ``up`` and ``down`` are the +1 and -1 deltas along the row; ``keep`` gets those down the columns."""
+    for x in places:
+        x |= down
+        same = (((x & up) + up) ^ up) | x
+        more = down | ((same | up) & mask) ^ mask
+        less = same & up
         if keep is not None:
-            keep.append((hp, hn))
-        if hp & top:
-            score += 1
-        elif hn & top:
-            score -= 1
-        hp = ((hp << 1) | 1) & mask
-        hn = (hn << 1) & mask
-        vp = hn | (~(d0 | hp) & mask)
-        vn = hp & d0
-    return vp, vn, score
+            keep.append((more, less))
+        more = (more << 1 | 1) & mask
+        less = (less << 1) & mask
+        up = less | ((same | more) & mask) ^ mask
+        down = more & same
+    return up, down
 
 
 def align_words(ref: list, hyp: list) -> tuple[int, int, int, int]:
@@ -72,20 +70,23 @@ def align_words(ref: list, hyp: list) -> tuple[int, int, int, int]:
         for j, w in enumerate(h):
             pm[w] = pm.get(w, 0) | (1 << j)
         mask = (1 << m) - 1
-        top = 1 << (m - 1)
-        block = max(1, math.isqrt(n))
-        starts = []
-        vp, vn, score = mask, 0, m
+        places = [pm.get(w, 0) for w in r]
+        block = max(64, math.isqrt(n))
+        starts, rows = [], []
+        up, down = mask, 0
         for b in range(0, n, block):
-            starts.append((vp, vn, score))
-            vp, vn, score = _rows(r, pm, mask, top, vp, vn, score, b, min(n, b + block), None)
-        cost = score
+            starts.append((up, down))
+            # the traceback starts with the last block's rows
+            up, down = _rows(places[b:b + block], mask, up, down, rows if b + block >= n else None)
+        # the last cell: down the first column, then along the last row
+        cost = n + up.bit_count() - down.bit_count()
         # traceback, one block of rows at a time from the last
         i, j = n, m
         for bi in range(len(starts) - 1, -1, -1):
             b0 = bi * block
-            rows: list = []
-            _rows(r, pm, mask, top, *starts[bi], b0, min(n, b0 + block), rows)
+            if bi < len(starts) - 1:
+                rows = []
+                _rows(places[b0:b0 + block], mask, *starts[bi], rows)
             while i > b0 and j > 0:
                 hp, hn = rows[i - 1 - b0]
                 if (hp >> (j - 1)) & 1:
