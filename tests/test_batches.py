@@ -61,3 +61,21 @@ def test_recordings_of_unequal_size_stay_within_the_budget(spark, tmp_path):
     assert reasons == [("en-aks-n-c6-9.wav", "empty_prediction")] * 3 + [("unknown.wav", "unknown_language")]
     assert "content" not in good.columns and "content" not in bad.columns
     assert "Exchange" not in spark.sparkContext._jvm.PythonSQLUtils.explainString(transcribe_recordings(spark, str(tmp_path), listening)[0]._jdf.queryExecution(), "simple")
+
+
+def test_recordings_in_chunks_come_back_whole(spark):
+    from tulkki.plans.jobs import transcribe_in_chunks
+
+    def hearing(model):
+        """Hears sample n as the words of n; mishears both ends of a chunk; fails on chunks with sample 5000."""
+        def hear(chunks):
+            if any(5000 in list(c) for c in chunks):
+                raise RuntimeError("noise")
+            return [" ".join("??" if i in (0, len(c) - 1) and len(c) > 1 else f"w{n}" for i, n in enumerate(c)) for c in chunks]
+        return hear
+    recs = {"long": list(range(500)), "short": [7], "empty": [], "bad": list(range(4990, 5003))}
+    df = spark.createDataFrame(list(recs.items()), "rec string, samples array<int>")
+    good, bad = transcribe_in_chunks(df, hearing, ["rec"])
+    texts = {r["rec"]: r["text"] for r in good.collect()}
+    assert texts == {"long": " ".join(["??", *[f"w{i}" for i in range(1, 499)], "??"]), "short": "w7"}
+    assert [tuple(r) for r in bad.collect()] == [("bad", 0, 0, "model_error: RuntimeError")]

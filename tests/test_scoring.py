@@ -100,3 +100,12 @@ def test_sources_of_transcripts_are_flagged(spark):
         assert r["ASR_WER_Status"].startswith(f"ASR Source ({r['Source_Lang']}_")
         same = [x["WER"] for x in own.values() if x["Language"] == r["Source_Lang"] and x["Model"] == r["asr_model"] and x["reject_reason"] is None]
         assert r["WER"] == pytest.approx(sum(same) / len(same))
+
+
+def test_segments_keep_null_and_repeated_rows(spark):
+    from tulkki.plans.evaluate import score_mt_segments
+    rows = [(None, "s", "a b", "a b"), (None, "s", "a b", "a b"), ("k", None, None, "x"), ("k", "s", None, None), ("k", "s", "a c", None), ("z", "t", "A, b!", "a b")]
+    df = spark.createDataFrame(rows, "meta string, src string, ref string, hyp string")
+    got = sorted((r["meta"] or "", r["meteor"], r["ter_edits"], r["ter_ref_len"]) for r in score_mt_segments(df).where("ter_edits IS NOT NULL").collect())
+    assert got == [("", 0.9375, 0, 2), ("", 0.9375, 0, 2), ("k", 0.0, 1, 0), ("k", 0.0, 2, 2), ("z", 0.9375, 0, 2)]
+    assert score_mt_segments(df).count() == len(rows)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tulkki import dims
 from tulkki.functions import text as tx
 from tulkki.operators import relational as rel
-from tulkki.operators.infer import batch_map
+from tulkki.operators.infer import batch_map, chunk_items, overlap_chunks
+from tulkki.operators.stitch import stitch_chunks, stitched_text
 
 
 def translate_job(lines: DataFrame, make_predict: Callable, langs: list[str], lang_col: str | None = None,
@@ -92,3 +93,22 @@ def transcribe_recordings(spark: SparkSession, root: str, make_predict: Callable
     bad = out.where("text_error IS NOT NULL").withColumnRenamed("text_error", "reject_reason").drop("text", "asr_folder")
     unknown = audio_manifest(spark, root, pattern).where("Language IS NULL").select("path", "file_name", "Language", F.lit("unknown_language").alias("reject_reason"))
     return good, unknown.unionByName(bad, allowMissingColumns=True)
+
+
+def transcribe_in_chunks(recordings: DataFrame, make_predict: Callable, keys: list[str], samples: str = "samples", chunk_len: int = 30, left: int = 4,
+                         right: int = 2, overlap_words: int | None = None, least_share: float = 0.6, batch_size: int = 8, model: str = "default",
+                         max_bytes: int | None = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """B3 and B5 together: recordings (keys, an array of ``samples``) in overlapping chunks, the model's texts stitched.
+
+    The model gets each chunk's samples and returns its text.  Neighbouring
+    texts share ``overlap_words`` words at most (as many as samples, unless
+    given).  Returns keys and text of each recording, and the chunks for which
+    the model failed or gave nothing, with ``reject_reason``; their
+    recordings' texts lack what only those chunks have.
+    """
+    chunks = recordings.select(*keys, samples, F.explode(overlap_chunks(samples, chunk_len, left, right)).alias("c"))
+    chunks = chunks.select(*keys, "c.chunk_no", "c.start", chunk_items(samples, "c.start", chunk_len).alias(samples))
+    heard = batch_map(chunks, make_predict, [samples], "text", batch_size, model=model, max_bytes=max_bytes, drop_inputs=True)
+    words = heard.select(*keys, "chunk_no", tx.words("text").alias("words"))
+    good = stitched_text(stitch_chunks(words, keys, left + right if overlap_words is None else overlap_words, least_share=least_share), keys)
+    return good, heard.where("text_error IS NOT NULL").select(*keys, "chunk_no", "start", F.col("text_error").alias("reject_reason"))
