@@ -106,16 +106,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     results).  Other columns are left out; an empty table gives an empty
     result.  The same rows and ``seed`` give the same mix in any partitioning.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
+    # equal rows are numbered by counting them, so that no row, however often it is repeated, ends in one block with all its copies
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).select("doc_id", "source", "size", "mark", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
     sizes = materialise(rows, "sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "targets")
     fraction = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    hashed = F.xxhash64(F.lit(seed), "doc_id")
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "mark", "copy")
     state = (sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
              .withColumn("f", fraction)
              .select("doc_id", "src", "size", F.floor("f").cast("int").alias("whole"), (F.col("f") - F.floor("f")).alias("p"),
                      ((F.xxhash64(hashed, F.lit(1)).bitwiseAND((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u"),
-                     F.expr(f"pmod(xxhash64({seed}, doc_id), CAST(ceil(docs / {block}) AS long))").alias("leaf"),
+                     F.pmod(hashed, F.ceil(F.col("docs") / block).cast("long")).alias("leaf"),
                      F.lit(True).alias("open")))
     leaves = -(-(targets.agg(F.max("docs")).first()[0] or 0) // block)
     settled = []
