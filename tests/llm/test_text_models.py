@@ -123,6 +123,31 @@ def test_licences(spark, make_docs, words):
     assert scan(make_docs(rows).where("doc_id < 0")).collect() == []
 
 
+WRAPPED = {
+    "mit": """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "apache": """Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""}
+
+
+def test_wrapped_notices_get_their_family(spark, make_docs, words):
+    rng = random.Random(8)
+    plain = [(i, "Some prose goes before.\n" + words(rng, 80)) for i in range(100, 160)]
+    rows = [(i, f"Title of the file\n\n{notice}\n\n{words(rng, 40)}") for i, notice in enumerate(WRAPPED.values())]
+    got = {(r.doc_id, r.family) for r in scan(make_docs(rows + plain)).collect()}
+    assert {(i, family) for i, family in enumerate(WRAPPED)} <= got
+    assert {d for d, _ in got} <= set(range(len(WRAPPED)))
+
+
 def brute_perplexity(trusted, text, order):
     """Interpolated modified Kneser-Ney straight from its definition."""
     counts = {order: Counter()}

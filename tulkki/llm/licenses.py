@@ -1,11 +1,14 @@
 """Licence scan: a trained passage classifier confirmed by templates, in DataFrame functions only.
 
-Texts are cut into passages at line breaks and sentence ends.  A multinomial
+Texts are cut into passages at line breaks and sentence ends; where a line
+goes on in the next, as in a notice wrapped to a width, the paragraph is
+joined again and its sentences are passages too.  A multinomial
 logistic regression over sparse word n-grams gives each passage a family or
 "none".  It is trained on the notices below, shortened and joined with
 ordinary words in many ways, against passages of a bounded sample of
 documents that resemble no notice.  The least probability that counts is
-calibrated on passages kept out of training.  A family is then confirmed by
+calibrated on passages kept out of training, of all documents.  A family is
+then confirmed by
 the share of a notice's words found in the passage; what looks like a
 licence without being confirmed is "unknown".
 """
@@ -19,7 +22,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tulkki.llm.columns import let
@@ -61,8 +64,22 @@ NOTICES = {
 }
 
 
+# A line break within a sentence: nothing ends before it, and a small letter, a digit or a bracket follows, perhaps behind the sign of a comment.
+JOINT = "\x01"
+WRAPPED = r"(?<=[^.!?:\s])[ \t\r]*\n[ \t]*(?:[#*;%]+|//+|--)?[ \t]*(?=[\p{Ll}\p{N}(\[\"'])"
+ENDS = r"\n|(?<=[.!?])[ \t\r\x0b\x0c]+(?=[^\p{Ll}]|$)"
+#: Words of licences: a passage with one tells nothing about passages that are none.
+LEGAL = r"(?i)licen[cs]|copyright|rights reserved|public domain|permission"
+
+
 def passages(text: Column) -> Column:
-    return F.split(text, r"\n|(?<=[.!?])[ \t\r\x0b\x0c]+")
+    """Lines and their sentences, and the sentences of wrapped lines joined again."""
+    lines = F.split(text, r"\n|(?<=[.!?])[ \t\r\x0b\x0c]+")
+
+    def whole(joined: Column) -> Column:
+        some = F.transform(F.filter(F.split(joined, ENDS), lambda p: F.contains(p, F.lit(JOINT))), lambda p: F.translate(p, JOINT, " "))
+        return F.when(F.contains(joined, F.lit(JOINT)), some).otherwise(F.array().cast("array<string>"))
+    return F.concat(lines, let(F.regexp_replace(F.translate(text, JOINT, " "), WRAPPED, JOINT), whole))
 
 
 def terms(text: Column, n: int = 3) -> Column:
@@ -120,20 +137,20 @@ def likeness(passage_terms: Column) -> Column:
     return F.create_map(*[x for family, texts in NOTICES.items() for x in (F.lit(family), best(texts))])
 
 
-def train(docs: DataFrame, sample_docs: int = 400, seed: int = 11, quantile: float = 0.9995) -> tuple[PipelineModel, StringIndexerModel, float]:
-    """The model, the names of its classes and the least probability of being a licence that counts.
+def train(docs: DataFrame, sample_docs: int = 400, seed: int = 11) -> tuple[PipelineModel, StringIndexerModel]:
+    """The model and the names of its classes.
 
     Learns from the notices and from passages of ``sample_docs`` documents, the
-    smallest by a hash of text."""
+    smallest by a hash of text, but for those that ``kept_out`` tells."""
     spark = docs.sparkSession
     usable, order, parts = docs.where("text IS NOT NULL").select("text"), F.xxhash64(F.lit(seed), "text"), 1 << 30
     total = usable.count()
     # about twice as many pass the hash threshold, so that the sort sees no more than that of any corpus
-    passing = usable.where(F.lit(total <= 4 * sample_docs) | (F.pmod(order, F.lit(parts)) * total < 2 * sample_docs * parts))
+    passing = usable.where(F.lit(total <= 4 * sample_docs) | (F.pmod(order, F.lit(parts)) < 2 * sample_docs * parts // max(1, total)))
     sample = passing.orderBy(order, "text").limit(sample_docs)
     plain = sample.select(F.explode(passages(F.col("text"))).alias("passage")).distinct().withColumn("terms", terms(F.col("passage"), 3)).where(F.size("terms") > 0)
     plain = plain.where(F.array_max(F.map_values(likeness(F.col("terms")))) < 0.5)
-    plain = plain.select("terms", F.lit(NONE).alias("family"), (F.pmod(F.xxhash64("passage"), F.lit(4)) == 0).alias("kept_out"))
+    plain = plain.select("terms", F.lit(NONE).alias("family"), kept_out(F.col("passage")).alias("kept_out"))
     # notices in full, and with either end cut off or ordinary words around them
     cut = notices(spark).select("family", F.explode(F.array(_words(F.col("notice")))).alias("w"))
     around = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit("filler"), i.cast("string")))
@@ -153,40 +170,46 @@ def train(docs: DataFrame, sample_docs: int = 400, seed: int = 11, quantile: flo
     fitted = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=40, regParam=1e-3, tol=1e-4,
                                 family="multinomial").fit(vocabulary.transform(learn.withColumn("weight", weight)))
     model = PipelineModel([vocabulary, fitted])
-    scored = model.transform(every.where("kept_out")).select((1 - F.get(vector_to_array("probability"), F.lit(names.labels.index(NONE)) if NONE in names.labels else F.lit(-1))).alias("p"))
-    at = scored.agg(F.percentile_approx("p", quantile, 10000)).first()[0]
     every.unpersist()
-    return model, names, max(0.5, at or 0.5)
+    return model, names
+
+
+def kept_out(passage: Column) -> Column:
+    """A quarter of all passages, by their words' hash: training sees the others."""
+    return F.pmod(F.xxhash64(passage), F.lit(4)) == 0
 
 
-def scan(docs: DataFrame, share: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, share: float = 0.7, quantile: float = 0.9995) -> DataFrame:
     """Licence passages: (doc_id, family, probability, likeness, passage).
 
     One row for each distinct passage of a document that is probably a licence.
-    ``family`` is "unknown" where the passage has less than ``share`` of the one-
+    The least probability that counts, a half at least, is the ``quantile`` of
+    the passages of all documents that are kept out of training, resemble no
+    notice and have no word of licences; it is observed while the passages are
+    scored.  ``family`` is "unknown" where the passage has less than ``share`` of the one-
     and two-word terms of each notice of the predicted family.  Null, empty
     and wordless texts give none; null doc_ids are kept as ids; rows repeated
     with doc_id and text give their passages once.  Other columns are left
     out; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    model, names, least = train(docs)
+    model, names = train(docs)
     rows = (docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(passages(F.col("text")))).alias("passage"))
             .withColumn("terms", known_terms(F.col("passage"), model.stages[0].vocabulary)))
-    # a passage without any term of the vocabulary gets what no words at all get
-    empty = model.transform(docs.sparkSession.range(1).select(F.array().cast("array<string>").alias("terms")))
-    of_none = empty.select(vector_to_array("probability")).first()[0][names.labels.index(NONE)] if NONE in names.labels else 0
-    if 1 - of_none < least:
-        rows = rows.where(F.size("terms") > 0)
-    scored = model.transform(rows).withColumn("p", vector_to_array("probability"))
+    scored = model.transform(rows).select("doc_id", "passage", "terms", vector_to_array("probability").alias("p"))
     listed = F.array(*[F.lit(x) for x in names.labels])
     families = F.filter(F.arrays_zip(listed.alias("family"), F.col("p").alias("p")), lambda x: x["family"] != NONE)
+    some = 1 - F.get("p", F.lit(names.labels.index(NONE))) if NONE in names.labels else F.lit(1.0)
+    scored = scored.withColumn("some", some)
+    plain = kept_out(F.col("passage")) & ~F.col("passage").rlike(LEGAL) & F.when(F.col("some") < 0.5, True).otherwise(F.array_max(F.map_values(likeness(F.col("terms")))) < 0.5)
+    seen = Observation()
+    scored = scored.observe(seen, F.percentile_approx(F.when(plain, F.col("some")), quantile, 10000).alias("least"))
     best = F.array_max(F.transform(families, lambda x: F.struct(x["p"].alias("p"), x["family"].alias("family"))))
-    some = F.aggregate(families, F.lit(0.0), lambda s, x: s + x["p"])
-    likely = scored.withColumn("best", best).withColumn("some", some).where(F.col("some") >= least)
-    shared = F.coalesce(F.element_at(likeness(F.col("terms")), F.col("best.family")), F.lit(0.0))
-    return (likely.withColumn("shared", shared)
-            .select("doc_id", F.when(F.col("shared") >= share, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
+    likely = materialise(scored.where("some >= 0.5").select("doc_id", "passage", "terms", "some", best["family"].alias("family")), "likely")
+    least = seen.get["least"] or 0.5
+    shared = F.coalesce(F.element_at(likeness(F.col("terms")), F.col("family")), F.lit(0.0))
+    return (likely.where(F.col("some") >= least).withColumn("shared", shared)
+            .select("doc_id", F.when(F.col("shared") >= share, F.col("family")).otherwise(UNKNOWN).alias("family"),
                     F.col("some").alias("probability"), F.col("shared").alias("likeness"), "passage").distinct())
 
 
