@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tulkki.llm.words import pieces
@@ -141,33 +141,44 @@ def train(texts: list[str], langs: list[str], window: int, filters: int, dim: in
     return net
 
 
-def training_sample(docs: DataFrame, per_lang: int, chars: int, seed: int) -> DataFrame:
-    """(lang, text): for each language ``per_lang`` documents at most, the
-    smallest by a hash of doc_id, and of each ``chars`` characters from a place
-    drawn by the same hash.
+def training_sample(docs: DataFrame, per_lang: int, chars: int, seed: int, most_rows: int = 60_000) -> list[tuple[str, str]]:
+    """(lang, text) in order: for each language ``per_lang`` documents at most
+    (``most_rows`` in all), the smallest by a hash of doc_id, and of each
+    ``chars`` characters from a place drawn by the same hash.
 
-    Counts of the languages give a hash threshold that about twice as many
-    pass, so that a language of any size sends no more than that to its window."""
+    The counts of the languages give each a hash threshold that about twice
+    as many pass.  The thresholds are literals in the scan, so that no text
+    but the sample's leaves its task, whatever the size of a language."""
     order = F.xxhash64(F.lit(seed), "doc_id")
     place = F.expr(f"CAST(1 + pmod(xxhash64({seed + 1}, doc_id), greatest(1, char_length(text) - {chars} + 1)) AS int)")
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = usable.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
-    parts = 1 << 30
+    # languages beyond one for every hundred rows of the sample, the rarest, aren't learned
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max(1, most_rows // 100)).collect()
+    if not counts:
+        return []
+    each, parts = min(per_lang, max(1, most_rows // len(counts))), 1 << 30
     # a language with few documents passes whole
-    passes = (F.col("n") <= 4 * per_lang) | (F.pmod(order, F.lit(parts)) * F.col("n") < 2 * per_lang * parts)
-    rows = (usable.select("lang", order.alias("h"), "doc_id", F.substr("text", place, F.lit(chars)).alias("text"))
-            .join(counts, F.col("lang") == F.col("l")).withColumn("h", order).where(passes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).orderBy("lang", "rank").select("lang", "text")
+    limits = {r["lang"]: parts if r["n"] <= 4 * each else 2 * each * parts // r["n"] for r in counts}
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
+    rows = (usable.where(F.pmod(order, F.lit(parts)) < limit)
+            .select("lang", order.alias("h"), F.substr("text", place, F.lit(chars)).alias("text")).collect())
+    rows.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
+    taken: dict[str, int] = {}
+    out = []
+    for r in rows:
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= each:
+            out.append((r["lang"], r["text"]))
+    return out
 
 
 def fit(docs: DataFrame, per_lang: int = 1500, chars: int = 512, window: int = 256, filters: int = 12, dim: int = 8,
         epochs: int = 4, seed: int = 7) -> Network | None:
     """Train on a bounded sample (``per_lang`` x ``chars`` characters a language); None without labelled text."""
-    sample = [r for r in training_sample(docs, per_lang, chars, seed).collect() if r["text"]]
+    sample = [(lang, text) for lang, text in training_sample(docs, per_lang, chars, seed) if text]
     if not sample:
         return None
-    return train([r["text"] for r in sample], [r["lang"] for r in sample], window, filters, dim, epochs, seed)
+    return train([text for _, text in sample], [lang for lang, _ in sample], window, filters, dim, epochs, seed)
 
 
 def _predict(net: Network, keys: list[str]):
