@@ -13,8 +13,8 @@ number (one byte at most) for each component of each class, packed in blocks.
   reaches it are read; no other vector can be among the best.
 
 Queries are taken in blocks.  A block of queries meets a block of cells as
-one matrix product; a bounded number of query blocks is broadcast at a time,
-so the file is neither shuffled nor held in one place.
+one matrix product; query blocks of a bounded number of bytes are broadcast at
+a time, job by job, so the file is neither shuffled nor held in one place.
 """
 
 from __future__ import annotations
@@ -108,13 +108,15 @@ def _scan(low: int, high: int, width: int, k: int, emit: str):
     return task
 
 
-def _each_block(cells: DataFrame, queries: DataFrame, numbers: int, at_once: int, task) -> DataFrame:
-    """Run ``task`` on every block of cells with every block of queries."""
+def _each_block(cells: DataFrame, queries: DataFrame, numbers: int, at_once: int, task, name: str) -> DataFrame:
+    """Run ``task`` on every block of cells with every block of queries, ``at_once`` blocks of queries a job."""
     out = None
     for lo in range(0, numbers, at_once):
         chosen = F.broadcast(queries.where(F.col("number").between(lo, lo + at_once - 1)).withColumnRenamed("keys", "q_keys"))
         spread = cells.withColumn("number", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(min(lo + at_once, numbers) - 1).cast("long"))))
         part = spread.join(chosen, ["dims", "number"]).mapInArrow(task, "q long, c long, bound double")
+        if numbers > at_once:
+            part = materialise(part, name)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -124,7 +126,7 @@ def _ranked(df: DataFrame, by: str, order: list[Column], most: int, name: str =
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bits: int = 8, block: int = 2048,
-          query_block: int = 256, blocks_at_once: int = 64) -> DataFrame:
+          query_block: int = 256, blocks_at_once: int = 64, bytes_at_once: int = 8 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id,
     embedding) where ``is_query`` holds, the ``k`` other rows with the highest
     integer inner product of ``floor(scale x component)``, ties to the smaller
@@ -135,8 +137,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bi
     their vec_id count once.  Other columns may be used by ``is_query`` and
     are left out.  An empty table, or one without queries, gives no rows.
     Scaled components are expected below 2**20 in size, so that bounds are
-    exact in doubles.  ``blocks_at_once x query_block`` query vectors are
-    broadcast at a time, whatever their number.
+    exact in doubles.  ``blocks_at_once`` blocks of queries, of no more than about
+    ``bytes_at_once``, are broadcast at a time, each time in a job of its own.
     """
     rows = vectors.withColumn("asks", F.coalesce(is_query, F.lit(False)))
     asks = rows.where("asks").select("vec_id").distinct()
@@ -144,8 +146,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bi
     first = clean.distinct().withColumn("i", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("i") <= k + 1)
     classes = first.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("dims").alias("dims"))
     classes = materialise(classes.withColumn("key", F.xxhash64("x", F.element_at("ids", 1))), "classes")
-    low, high = classes.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
+    low, high, widest = classes.agg(F.min(F.array_min("x")), F.max(F.array_max("x")), F.max("dims")).first()
     low, high = low or 0, high or 0
+    at_once = max(1, min(blocks_at_once, bytes_at_once // (query_block * 8 * max(1, widest or 1))))
     width = -(-(high - low + 1) // (1 << bits))
     cells = materialise(classes.select("dims", "key", "x").mapInArrow(_pack_cells(low, width, block), CELLS), "cells")
 
@@ -160,11 +163,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bi
                 .mapInArrow(_pack_queries(query_block), QUERIES))
 
     want = k + 1  # the query's own class is among them
-    bounds = _each_block(cells, packed(numbered), numbers, blocks_at_once, _scan(low, high, width, want, "floors"))
+    bounds = _each_block(cells, packed(numbered), numbers, at_once, _scan(low, high, width, want, "floors"), "floors")
     floors = _ranked(bounds, "q", [F.col("bound").desc()], want).where(F.col("r") == want).select(F.col("q").alias("key"), F.col("bound").alias("f"))
     cut = numbered.drop("floor").join(floors, "key", "left").withColumn("floor", F.coalesce("f", F.lit(float("-inf"))))
     cut = materialise(cut, "cut")
-    found = materialise(_each_block(cells, packed(cut), numbers, blocks_at_once, _scan(low, high, width, want, "candidates")), "candidates")
+    found = materialise(_each_block(cells, packed(cut), numbers, at_once, _scan(low, high, width, want, "candidates"), "some"), "candidates")
 
     mine = classes.select(F.col("key").alias("q"), F.col("x").alias("y"))
     theirs = classes.select(F.col("key").alias("c"), "x", "ids")
