@@ -28,14 +28,17 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles met
 # OPENING: a capitalised word that may be a name, as one that opens a sentence; it is a literal but where an item begins.
 NUMBER, NAME, UNIT, OPENING = "\x01", "\x02", "\x03", "\x04"
 MARKS = f"{NUMBER}-{UNIT}"
-# Scripts written without spaces: each character is a word.
-UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
+#: A benchmark of more distinct words is searched without a look at its vocabulary first, with the same result.
+MOST_WORDS = 50_000
+# The patterns below begin with a test that most characters fail at once.
+# Scripts written without spaces, all of them from U+0E00 on: each character is a word.
+UNSPACED = r"[\x{E00}-\x{10FFFF}&&[" + "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]]"
 # White space, but for a single space.
-GAPS = r"[\s\x85\p{Z}]{2,}|[\s\x85\p{Z}&&[^ ]]"
+GAPS = r"(?![a-zA-Z])(?:[\s\x85\p{Z}]{2,}|[\s\x85\p{Z}&&[^ ]])"
 UNIT_AFTER = rf"(?i)(?<=\d )(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
-NUMBERS = r"(?<![\p{L}\p{N}])[$€£]?\d[\d.,]*%?"
-NAMES = r"(?<=[\p{L}\p{N},;)] )\p{Lu}[\p{Ll}']+(?![\p{L}\p{N}])"
-OPENINGS = rf"(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}[\p{{Ll}}']+(?![\p{{L}}\p{{N}}])"
+NUMBERS = r"(?=[$€£\d])(?<![\p{L}\p{N}])[$€£]?\d[\d.,]*%?"
+NAMES = r"(?![a-z ])(?=\p{Lu})(?<=[\p{L}\p{N},;)] )\p{Lu}[\p{Ll}']+(?![\p{L}\p{N}])"
+OPENINGS = rf"(?![a-z ])(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{MARKS}])\p{{Lu}}[\p{{Ll}}']+(?![\p{{L}}\p{{N}}])"
 
 
 def typed(text: Column) -> Column:
@@ -44,7 +47,7 @@ def typed(text: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $0 "), GAPS, " ")
     for pattern, mark in ((UNIT_AFTER, UNIT), (NAMES, NAME), (NUMBERS, NUMBER), (OPENINGS, OPENING)):
         text = F.regexp_replace(text, pattern, f"{mark}$0")
-    text = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{OPENING}]+", "")
+    text = F.regexp_replace(F.lower(text), rf"[^a-z \p{{L}}\p{{N}}\s{NUMBER}-{OPENING}]+", "")
     return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
@@ -85,22 +88,32 @@ def caseless(w: Column) -> Column:
     return F.when(is_slot(w) & ~is_name(w), F.substring(w, 1, 1)).otherwise(plain(w))
 
 
-def windows(w: Column, n: Column | int) -> Column:
+def windows(w: Column, n: Column | int, vocabulary: list[str] | None = None) -> Column:
     """(at, hash) of every ``n`` consecutive typed words, in an array: that of
     their symbols; where one is a name, that with names as literals as well; where
     more than half are slots, that of their values; where the first is an
-    opening, also that with it as a name."""
+    opening, also that with it as a name.
+
+    With a ``vocabulary`` only windows whose literals all are in it are
+    hashed: the others can't equal one of a text that has no other words."""
     hashes = lambda of: F.transform(w, lambda x: F.xxhash64(of(x)))
-    at = F.sequence(F.lit(1), F.size(w) - n + 1)
     row = lambda i, h: F.struct((i - 1).alias("at"), h.alias("hash"))
     none = F.array().cast("array<struct<at: int, hash: bigint>>")
     slots = F.transform(w, is_slot)
-    heavy = lambda f: F.filter(at, lambda i: F.size(F.array_remove(F.slice(f, i, n), False)) * 2 > n)
-    opening = F.filter(at, lambda i: F.get(w, i - 1).startswith(OPENING))
     named = F.xxhash64(F.lit(NAME))
-
-    def each(h: Column) -> Column:
-        by_symbol = F.transform(at, lambda i: row(i, F.xxhash64(F.slice(h, i, n))))
+    every = F.sequence(F.lit(1), F.size(w) - n + 1)
+
+    def candidates(use) -> Column:
+        if vocabulary is None:
+            return let(every, use)
+        known = F.transform(w, lambda x: (x < chr(ord(OPENING) + 1)) | x.isin(vocabulary))
+        # most windows end at their first words: only the others are looked at as a whole
+        whole = lambda k: F.filter(every, lambda i: F.get(k, i - 1) & F.get(k, i) & F.get(k, i + 1) & ~F.array_contains(F.slice(k, i, n), False))
+        return let(known, lambda k: let(whole(k) if isinstance(n, int) and n > 2 else every, use))
+
+    def each(at: Column) -> Column:
+        heavy = lambda f: F.filter(at, lambda i: F.size(F.array_remove(F.slice(f, i, n), False)) * 2 > n)
+        opening = F.filter(at, lambda i: F.get(w, i - 1).startswith(OPENING))
         by_value = let(slots, lambda f: F.when(
             F.size(F.array_remove(f, False)) * 2 > n,
             let(hashes(plain), lambda v: F.transform(heavy(f), lambda i: row(i, F.xxhash64(F.slice(v, i, n)))))).otherwise(none))
@@ -108,9 +121,12 @@ def windows(w: Column, n: Column | int) -> Column:
             F.array_contains(f, True),
             let(hashes(caseless), lambda v: F.transform(F.filter(at, lambda i: F.array_contains(F.slice(f, i, n), True)),
                                                         lambda i: row(i, F.xxhash64(F.slice(v, i, n)))))).otherwise(none))
-        as_name = F.transform(opening, lambda i: row(i, F.xxhash64(F.concat(F.array(named), F.slice(h, i + 1, n - 1)))))
-        return F.concat(by_symbol, in_lower, by_value, as_name)
-    return F.when(F.size(w) >= n, let(hashes(symbol), each)).otherwise(none)
+
+        def by_symbol(h: Column) -> Column:
+            return F.concat(F.transform(at, lambda i: row(i, F.xxhash64(F.slice(h, i, n)))),
+                            F.transform(opening, lambda i: row(i, F.xxhash64(F.concat(F.array(named), F.slice(h, i + 1, n - 1))))))
+        return F.when(F.size(at) > 0, F.concat(let(hashes(symbol), by_symbol), in_lower, by_value)).otherwise(none)
+    return F.when(F.size(w) >= n, candidates(each)).otherwise(none)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, least_words: int) -> DataFrame:
@@ -169,7 +185,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough:
         lengths = [window]
     needed = lambda n: F.least(F.greatest(F.lit(1), F.col(n) - 1), F.lit(enough))
     found = docs.select("doc_id", "tag", words(typed(F.col("text"))).alias("w"))
-    of_length = lambda w: F.array(*[F.struct(F.lit(n).alias("length"), windows(w, n).alias("at")) for n in lengths])
+    # the words of the benchmark, as long as they are few enough for the plan
+    own = F.explode(F.transform(words(typed(F.coalesce("text", F.lit("")))), plain))
+    vocabulary = [r[0] for r in benchmark.select(own.alias("word")).distinct().limit(MOST_WORDS + 1).collect()]
+    vocabulary = sorted(vocabulary) if len(vocabulary) <= MOST_WORDS else None
+    of_length = lambda w: F.array(*[F.struct(F.lit(n).alias("length"), windows(w, n, vocabulary).alias("at")) for n in lengths])
     found = found.select("doc_id", "tag", F.explode(let(F.col("w"), of_length)).alias("of"))
     found = found.select("doc_id", "tag", "of.length", F.inline("of.at")).join(broadcast_if_few(index), ["hash", "length"])
     aligned = (found.groupBy("doc_id", "tag", "item_id", "item", "total", "telling", "length", (F.col("at") - F.col("place")).alias("offset"))
