@@ -7,15 +7,19 @@ transcript whose words are a deterministic corruption of the reference, with
 an error rate that rises with the recording condition.  Every document and
 every line takes part; nothing is sampled.
 
-All derivations stay inside one row (array higher-order functions).  One
-repartition by document and model comes before them, whatever the input: it
+All derivations stay inside one row (array higher-order functions; the words
+are corrupted by an Arrow UDF, once for each line).  One repartition by document and model comes before them, whatever the input: it
 spreads the work that follows, which is done row by row and heavy.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache, partial
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tulkki import dims
 from tulkki.functions import text as tx
@@ -37,14 +41,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1 << 12)
+def _changes(start: int, least: int) -> list[tuple[int, int]]:
+    """The words of a cycle of 31 that don't stay, and what becomes of them, for a line whose first word has hash ``start``."""
+    return [(i, h % 3) for i in range(31) if (h := (start + 5 * i) % 31) < least]
+
+
+def corrupted_line(line: str, doc: int | None, pos: int, k: int, c: int | None) -> str:
+    """The corruption above, of the words of one line; without a key every word is repeated."""
+    words = line.split(" ")
+    first = None if doc is None else doc * 13 + pos * 7 + k * 3
+    if first is None:
+        changes, step = [(0, 2)], 1
+    elif first >= 0:
+        changes, step = _changes(first % 31, c * 2 + k), 31
+    else:
+        # remainders have the sign of the hash, as in Spark and SQL
+        hashes = [x % 31 if x >= 0 else -(-x % 31) for x in range(first, first + 5 * len(words), 5)]
+        changes, step = [(i, h % 3 if h >= 0 or h % 3 == 0 else 2) for i, h in enumerate(hashes) if h < c * 2 + k], len(words)
+    dropped = False
+    for i, change in changes:
+        if i >= len(words):
+            break
+        if change == 0:
+            words[i::step] = [None] * len(words[i::step])
+            dropped = True
+        else:
+            words[i::step] = [w + "q" if change == 1 else f"{w} {w}" for w in words[i::step]]
+    return " ".join([w for w in words if w is not None] if dropped else words)
+
+
+@partial(F.pandas_udf, returnType=T.StringType())
+def _corrupt_texts(texts: pd.Series, doc: pd.Series, pos: pd.Series, k: pd.Series, c: pd.Series) -> pd.Series:
+    keys = ([None if pd.isna(x) else int(x) for x in column] for column in (doc, pos, k, c))
+    return pd.Series([None if t is None else "\n".join(corrupted_line(line, d, p + n, m, e) for n, line in enumerate(t.split("\n")))
+                      for t, d, p, m, e in zip(texts, *keys, strict=True)], dtype=object)
+
+
 def _corrupt_line(line: Column, doc: Column, pos: Column, k: Column, c: Column) -> Column:
-    def word(x, i):
-        h = (doc * 13 + pos * 7 + i * 5 + k * 3) % 31
-        return (F.when(h >= c * 2 + k, F.array(x))
-                 .when(h % 3 == 0, F.array().cast("array<string>"))
-                 .when(h % 3 == 1, F.array(F.concat(x, F.lit("q"))))
-                 .otherwise(F.array(x, x)))
-    return F.array_join(F.flatten(F.transform(F.split(line, " "), word)), " ")
+    """One line, which holds no line break."""
+    # a key of 64 bits doesn't fit the floats that pandas has for columns with nulls
+    return _corrupt_texts(line, doc.cast("string"), pos.cast("long"), k.cast("long"), c.cast("string"))
+
+
+def _corrupt_lines(df: DataFrame, lines: str, k: Column, out: str) -> DataFrame:
+    """``df`` with the list ``out`` of its corrupted ``lines`` (none of them empty), by doc_id and cond_no."""
+    text = _corrupt_line(F.array_join(lines, "\n"), F.col("doc_id"), F.lit(0), k, F.col("cond_no"))
+    df = df.withColumn("_corrupted", text)
+    return materialize(df, **{out: F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split("_corrupted", "\n"))}).drop("_corrupted")
 
 
 def recordings(documents: DataFrame) -> DataFrame:
@@ -66,12 +110,8 @@ def recordings(documents: DataFrame) -> DataFrame:
     return d.withColumn("cond_no", c).withColumn("group", g).withColumn("recording", name)
 
 
-def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Recording x applicable ASR model -> reference lines and transcript lines.
-
-    Columns: doc_id, lang, asr_model, asr_folder, model_no, cond_no, recording,
-    pred_path, ref_lines array<string>, pred_lines array<string>.
-    """
+def _heard_lines(documents: DataFrame) -> DataFrame:
+    """Recording x applicable ASR model -> ref_lines and hyp_lines, one for each reference line (an emptied line stays, as '')."""
     rec = recordings(documents)
     # the 5-entry model registry as a literal array: P1 applicability is an
     # in-row filter + explode, so the fan-out needs no join
@@ -83,9 +123,17 @@ def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
                  .select("*", "m.*").drop("m"))
     models = models.repartition("doc_id", "asr_model")
     out = materialize(models, ref_lines=tx.split_lines(F.col("text"))).drop("text")
-    pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
-        ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
-    out = materialize(out, pred_lines=F.filter(F.transform(pred, tx.strip), lambda x: x != ""))
+    return _corrupt_lines(out, "ref_lines", F.col("model_no"), "hyp_lines")
+
+
+def asr_outputs(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Recording x applicable ASR model -> reference lines and transcript lines.
+
+    Columns: doc_id, lang, asr_model, asr_folder, model_no, cond_no, recording,
+    pred_path, ref_lines array<string>, pred_lines array<string>.
+    """
+    out = _heard_lines(documents)
+    out = materialize(out, pred_lines=F.filter(F.transform("hyp_lines", tx.strip), lambda x: x != "")).drop("hyp_lines")
     return out.withColumn("pred_path", transcript_path(F.col("asr_folder"), F.col("recording")))
 
 
@@ -98,12 +146,8 @@ def line_pairs(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     Columns: doc_id, pos, lang, asr_model, model_no, cond_no, group, ref, hyp.
     """
-    a = asr_outputs(spark, documents)
-    # one hypothesis line per reference line (an emptied line stays, as '')
-    pred = F.transform("ref_lines", lambda ln, p: _corrupt_line(
-        ln, F.col("doc_id"), p, F.col("model_no"), F.col("cond_no")))
-    return (a.select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
-                    F.posexplode(F.arrays_zip(F.col("ref_lines").alias("ref"), pred.alias("hyp")))
+    return (_heard_lines(documents).select("doc_id", "lang", "asr_model", "model_no", "cond_no", "group",
+                    F.posexplode(F.arrays_zip(F.col("ref_lines").alias("ref"), F.col("hyp_lines").alias("hyp")))
                      .alias("pos", "p"))
             .select("doc_id", "pos", "lang", "asr_model", "model_no", "cond_no", "group",
                     F.col("p.ref").alias("ref"), tx.strip(F.col("p.hyp")).alias("hyp")))
@@ -185,6 +229,6 @@ def mt_on_asr_lists(spark: SparkSession, documents: DataFrame) -> DataFrame:
     o = asr_outputs(spark, documents).withColumn("tgt_lang", _other_language(F.col("lang"), F.col("doc_id")))
     o = o.withColumn("mt_model", _mt_model(F.col("lang"), F.col("tgt_lang"), F.col("doc_id")))
     o = materialize(o, refs=F.transform("ref_lines", _translated))
-    hyps = F.transform("refs", lambda x, p: tx.strip(_corrupt_line(x, F.col("doc_id"), p, _mt_number(F.col("mt_model")), F.col("cond_no"))))
+    o = _corrupt_lines(o, "refs", _mt_number(F.col("mt_model")), "hyps")
     return o.select("doc_id", F.col("lang").alias("src_lang"), "tgt_lang", "asr_model", "mt_model", F.col("pred_path").alias("Source_File"),
-                    F.col("pred_lines").alias("src_lines"), F.col("refs").alias("ref_lines"), hyps.alias("hyp_lines"))
+                    F.col("pred_lines").alias("src_lines"), F.col("refs").alias("ref_lines"), F.transform("hyps", tx.strip).alias("hyp_lines"))
