@@ -96,3 +96,21 @@ def test_spark_udf_metrics_and_m7(spark):
     dist = {r["id"]: r["d"] for r in df.select("id", align_texts("r", "h").alias("al")).select("id", word_distance("al").alias("d")).collect()}
     for i, (_, _, (hits, s, d, ins), *_r) in enumerate(GOLDEN):
         assert dist[i] == s + d + ins
+
+
+def test_many_pairs_at_a_time_against_brute_force(monkeypatch):
+    """Pairs of several widths in one call, by limbs of 64 columns; ordinary ones aren't aligned one by one."""
+    from tulkki.operators import align
+    rnd = random.Random(11)
+    pairs = []
+    for most, count in ((8, 400), (70, 150), (300, 60)):
+        for _ in range(count):
+            r = [str(rnd.randrange(rnd.choice([2, 9, 60]))) for _ in range(rnd.randrange(most))]
+            h = [w for w in r if rnd.random() > 0.2] if rnd.random() < 0.7 else [str(rnd.randrange(4)) for _ in range(rnd.randrange(most))]
+            pairs.append((r, [w + "q" if rnd.random() < 0.2 else w for w in h]))
+    pairs += [([], []), (["a"], []), ([], ["a"]), (["a"] * 64, ["b"] * 64), (["a"] * 65, ["b"] * 128)]
+    want = [brute(r, h) for r, h in pairs]
+    assert align.align_many(pairs) == want
+    assert align.align_many(pairs[:3]) == want[:3]
+    monkeypatch.setattr(align, "_hits_and_cost", None)
+    assert align.align_many(pairs[:400]) == want[:400]
