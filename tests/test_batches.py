@@ -79,3 +79,26 @@ def test_recordings_in_chunks_come_back_whole(spark):
     texts = {r["rec"]: r["text"] for r in good.collect()}
     assert texts == {"long": " ".join(["??", *[f"w{i}" for i in range(1, 499)], "??"]), "short": "w7"}
     assert [tuple(r) for r in bad.collect()] == [("bad", 0, 0, "model_error: RuntimeError")]
+
+
+def test_outputs_of_long_inputs_go_on_in_pieces():
+    """Calls stay as they are, but no more than about 4 MB of inputs waits for the rest of its batch."""
+    import tracemalloc
+    from tulkki.operators.infer import _calls, _pieces
+    rows = [f"{i} " + "x" * 50_000 for i in range(400)]
+    seen = []
+
+    def predict(texts):
+        seen.append(len(texts))
+        return [t[::-1] for t in texts]
+
+    tracemalloc.start()
+    at = 0
+    for start, end, outs, errs in _pieces(rows, (("m", *c) for c in _calls(rows, 0, 400, 8, None)), lambda name: predict):
+        assert start == at and outs == [t[::-1] for t in rows[start:end]] and errs == [None] * len(outs)
+        assert sum(map(len, outs)) <= (4 << 20) + 8 * 50_010
+        at = end
+        del outs
+    assert at == 400 and seen == [8] * 50
+    assert tracemalloc.get_traced_memory()[1] < 15e6
+    tracemalloc.stop()
