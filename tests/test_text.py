@@ -71,3 +71,13 @@ def test_names_and_paths(spark):
     r2 = spark.createDataFrame([("x",), ("data/fi/a.wav",)], "p string").select(
         tx.model_folder("p").alias("f"), tx.lang_from_path("p").alias("l")).collect()
     assert r2[0]["f"] == "unknown_model" and r2[1]["l"] == "fi"
+
+
+def test_strip_and_collapse_take_every_white_space(spark):
+    import re
+    from tulkki.functions.text import WS_CHARS, normalize, strip
+    spaces = [c for c in map(chr, range(0x10000)) if c.isspace()]
+    assert sorted(WS_CHARS) == spaces
+    texts = [f"{a}x{b}{a}y {b}z{a}{b}" for a in spaces for b in (" ", "\t", "\u3000")] + ["a b", " a  b ", "\u200b\u180ex", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip("t").alias("s"), normalize("t").alias("n")).collect()
+    assert all(r["s"] == r["t"].strip() and r["n"] == re.sub(r"\s+", " ", r["t"]).strip(" ") for r in got)
