@@ -56,6 +56,24 @@ def test_each_distinct_word_is_stemmed_once(spark, tmp_path):
     assert len(words) == len(set(words)) == 7 + 7 + 3
 
 
+def test_pairs_are_made_twice_at_most_and_their_words_are_not_broadcast(spark):
+    """Once for the words left over, once for the result, whatever the stages."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    pairs = spark.createDataFrame([(f"x{i}y same {i % 3}q", f"x{i}z same") for i in range(200)], "ref string, hyp string").mapInPandas(count, "ref string, hyp string")
+    got = meteor_pairs(pairs, stemmer=lambda w: w[:3], synonyms=spark.createDataFrame(SYNONYMS, "word string, synonym string"))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 200 and got.agg({"scores.matches": "sum"}).first()[0] > 0
+    made.value = 0
+    meteor_pairs(pairs, stemmer=lambda w: w[:3], synonyms=spark.createDataFrame(SYNONYMS, "word string, synonym string")).collect()
+    assert made.value == 400
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "ref string, hyp string")
     assert meteor_pairs(df, synonyms=spark.createDataFrame(SYNONYMS, "word string, synonym string")).count() == 0
