@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 
@@ -91,3 +92,46 @@ def test_mt_records_take_the_stages(spark, rows):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
     exact = {r["doc_id"]: r["METEOR"] for r in evaluate_mt(seg, ter=False).collect()}
     assert all(exact[k] <= got[k] + 1e-9 for k in got) and sum(got.values()) > sum(exact.values())
+
+
+def test_words_leave_their_chunk_once(spark, monkeypatch):
+    """Pairs go on in chunks whose words and stems meet; a chunk ends where it is full, with the same counts."""
+    from tulkki.operators import lexicon
+
+    rng = random.Random(5)
+    pairs = [(text(rng), text(rng)) for _ in range(200)] + [("", "dog"), ("  cat\x1cdog ", "dogs")]
+
+    def counted(most):
+        monkeypatch.setattr(lexicon, "_MOST_LEFT", most)
+        monkeypatch.setattr(lexicon, "_MOST_TEXT", 100)
+        keys = [lexicon.pa.array(range(len(pairs)), lexicon.pa.int64())] * 2
+        batch = lexicon.pa.RecordBatch.from_arrays([*keys, *map(lexicon.pa.array, zip(*pairs, strict=True))], ["a", "b", "ref", "hyp"])
+        chunks = [b.to_pylist()[0] for b in lexicon._chunked(iter([batch]))]
+        found = []
+        for c in chunks:
+            stages = lexicon._Stages(c["state"], c["words"], True)
+            stages.stemmed(lexicon.np.arange(len(c["words"])), [stem(w) for w in c["words"]])
+            for word, other in dict.fromkeys(SYNONYMS):
+                if word != other and word in c["words"]:
+                    stages.linked(lexicon.np.array([c["words"].index(word)]), [other])
+            found += zip(*[x.tolist() for k, x in stages.counts().items() if k in lexicon.COUNT_NAMES], strict=True)
+        return chunks, found
+
+    known = {}
+    for word, other in dict.fromkeys(SYNONYMS):
+        if word != other:
+            known.setdefault(word, []).append(other)
+    want = [(*meteor_counts(r.split(), h.split(), True, known), len(r.split()), len(h.split())) for r, h in pairs]
+    (one,), whole = counted(1 << 20)
+    many, cut = counted(50)
+    assert whole == cut == want and len(many) > 5
+    assert len(one["words"]) == len(set(one["words"])) <= len(WORDS) + 1
+
+
+def test_texts_are_not_shuffled(spark):
+    """Neither by the pass that takes the words left over nor by the one of the result."""
+    pairs = spark.range(50).selectExpr("id", "concat('x', id, 'y same') AS ref", "concat('x', id, 'z same') AS hyp")
+    got = meteor_pairs(pairs, synonyms=spark.createDataFrame(SYNONYMS, "word string, synonym string")).select("id", "scores.matches")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join.*\n\s*:- Project \[id#\d+L, xxhash64\(.*\) AS _pair_a#\d+L, xxhash64\(.*\) AS _pair_b#\d+L\]\n", plan), plan
+    assert got.count() == 50
