@@ -109,3 +109,53 @@ def test_segments_keep_null_and_repeated_rows(spark):
     got = sorted((r["meta"] or "", r["meteor"], r["ter_edits"], r["ter_ref_len"]) for r in score_mt_segments(df).where("ter_edits IS NOT NULL").collect())
     assert got == [("", 0.9375, 0, 2), ("", 0.9375, 0, 2), ("k", 0.0, 1, 0), ("k", 0.0, 2, 2), ("z", 0.9375, 0, 2)]
     assert score_mt_segments(df).count() == len(rows)
+
+
+def test_small_batches_are_scored_together_and_equal_pairs_once(monkeypatch):
+    from tulkki.operators import scoring
+    calls = []
+
+    def score(pairs):
+        calls.append(list(pairs))
+        return [len(r or "") for r, _ in pairs]
+
+    batches = [[("a" * (i % 7), "b"), (None, "b"), ("a" * (i % 7), None)] for i in range(50)]
+    assert list(scoring._scored(iter(batches), score)) == [[i % 7, 0, i % 7] for i in range(50)]
+    assert len(calls) == 1 and len(calls[0]) == len(set(calls[0])) == 7 + 1 + 7
+    calls.clear()
+    monkeypatch.setattr(scoring, "_MOST_CHARS", 20)
+    assert list(scoring._scored(iter(batches), score)) == [[i % 7, 0, i % 7] for i in range(50)]
+    assert len(calls) > 5 and all(sum(map(scoring._size, c[:-1])) < 20 for c in calls)
+
+
+def test_prepared_text_takes_one_pass(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tulkki.functions import text as tx
+    from tulkki.plans.evaluate import _prepared_text
+    rng = random.Random(7)
+    some = ["A", "b.", " ", "\t", "-", "\u00a0", "\u0130", "\u03a3", "", "'x'", "\u2003y", None]
+    rows = [(i, [None if x is None else "".join(rng.choices([s for s in some if s is not None], k=4)) for x in rng.choices(some, k=rng.randrange(5))]) for i in range(300)]
+    df = spark.createDataFrame([*rows, (-1, None)], "k long, lines array<string>")
+    twice = tx.normalize(F.array_join(F.transform("lines", tx.normalize), " "))
+    got = df.select(_prepared_text(F.col("lines")).alias("a"), twice.alias("b")).collect()
+    assert len(got) == 301 and all(r["a"] == r["b"] for r in got)
+    assert str(_prepared_text(F.col("lines"))).count("regexp_replace") * 2 == str(twice).count("regexp_replace")
+
+
+def test_transcripts_are_scored_once_for_their_quality(spark):
+    from tulkki.plans import evaluate
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    asr = spark.createDataFrame([(i, "en", "m", None, 0.1 * i, 0.2, None if i else "empty_prediction", "a/f/x.txt", *[None] * 8) for i in range(5)],
+                                "doc_id long, Language string, Model string, Line_Index long, WER double, WIL double, reject_reason string, Pred_File_Path string, "
+                                + ", ".join(f"{c} string" for c in evaluate.META))
+    quality = evaluate.asr_quality(asr.mapInPandas(count, asr.schema)).collect()
+    assert made.value == 5 and [round(r["WER"], 6) for r in quality] == [0.25] * 4
