@@ -114,3 +114,22 @@ def test_many_pairs_at_a_time_against_brute_force(monkeypatch):
     assert align.align_many(pairs[:3]) == want[:3]
     monkeypatch.setattr(align, "_hits_and_cost", None)
     assert align.align_many(pairs[:400]) == want[:400]
+
+
+def test_rows_of_an_ordinary_pair_are_made_once(monkeypatch):
+    from tulkki.operators import align
+    made = []
+    rows = align._rows
+
+    def counted(places, *rest):
+        made.append(len(places))
+        return rows(places, *rest)
+
+    monkeypatch.setattr(align, "_rows", counted)
+    rng = random.Random(4)
+    ref = [rng.randrange(50) for _ in range(700)]
+    hyp = [w for w in ref if rng.random() > 0.3]
+    whole = align.align_words(ref, hyp)
+    assert sum(made) <= 700
+    monkeypatch.setattr(align, "_KEPT", 0)
+    assert align.align_words(ref, hyp) == whole and sum(made) > 1400
