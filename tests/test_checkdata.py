@@ -45,3 +45,15 @@ def test_line_pairs_are_corrupted_once(spark):
     assert {(d, p) for d, p, _ in rows} == set(lines)
     for (d, p, k), (ref, hyp) in rows.items():
         assert ref == lines[d, p] and hyp == by_definition(ref, d, p, k, cond[d]).strip()
+
+
+def test_documents_travel_once_and_before_the_models(spark):
+    """Dealt to the session's number of tasks by doc_id; the models come from what arrives."""
+    from tulkki.plans import checkdata
+    docs = spark.createDataFrame([(i, "A b. c\nd e", "en") for i in range(20)], "doc_id long, text string, lang string")
+    for made in (checkdata.line_pairs(spark, docs), checkdata.asr_outputs(spark, docs), checkdata.mt_segments(spark, docs)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and "asr_model" not in plan[plan.index("RepartitionByExpression"):]
+        assert made.select("doc_id").distinct().count() == 20
+        dealt = plan[plan.index("RepartitionByExpression"):].splitlines()[0]
+        assert dealt.endswith(f"], {spark.conf.get('spark.sql.shuffle.partitions')}"), dealt
